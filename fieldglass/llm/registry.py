@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from .langid import op2_language
+from .quality import op4_quality
+from .toxicity import op7_toxicity
+from .urlfilter import op5_urls
 
 QUERIES = {
     "op2_language": op2_language,
+    "op4_quality": op4_quality,
+    "op5_urls": op5_urls,
+    "op7_toxicity": op7_toxicity,
 }
 ORACLES: dict[str, str] = {}
