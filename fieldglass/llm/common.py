@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,18 @@ def crc_mod_py(value, n: int) -> int:
     return zlib.crc32(("" if value is None else str(value)).encode()) % n
 
 
-def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows, the same ones each time: those with the smallest hash of their key. Only n rows reach the driver."""
-    return df.orderBy(F.xxhash64(F.col(key).cast("string")), F.col(key)).limit(n)
+def bounded_sample(df: DataFrame, key: str, n: int, base: DataFrame | None = None) -> list[Row]:
+    """The n rows with the smallest hash of their key: the same ones each time.
+
+    Tasks send only rows under a hash threshold that the count of `base` (or df) sets to hold a few times n rows; should
+    a filter leave fewer, the threshold rises until n are found or all rows are in. What reaches the driver stays near n.
+    """
+    total = max(1, (df if base is None else base).select(key).count())
+    share = min(1.0, 4 * n / total)
+    hashed = F.xxhash64(F.col(key).cast("string"))
+    while True:
+        within = df if share >= 1 else df.filter(hashed <= int(-(2**63) + share * (2**64 - 1)))
+        rows = within.orderBy(hashed, key).limit(n).collect()
+        if len(rows) >= n or share >= 1:
+            return rows
+        share = min(1.0, 8 * share)

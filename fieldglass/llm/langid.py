@@ -213,7 +213,7 @@ def train_language_model(labelled: DataFrame, params: LangParams = LangParams(),
     """A network from a bounded sample of rows with text and language; None without any."""
     chars = params.train_chars
     place = 1 + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("place")), F.greatest(F.length(text) - chars, F.lit(1)))
-    rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, lang, F.substring(F.col(text), place.cast("int"), F.lit(chars)).alias("piece")), key, params.train_rows).collect()
+    rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, lang, F.substring(F.col(text), place.cast("int"), F.lit(chars)).alias("piece")), key, params.train_rows, labelled)
     if not rows:
         return None
     languages = sorted({r[lang] for r in rows})

@@ -176,7 +176,7 @@ def train_quality(stats: DataFrame, labels: DataFrame, params: QualityParams = Q
     """stats: key and statistics; labels: key and label of rows that training may see."""
     names = [prefix + s for s in STATISTICS]
     joined = stats.select(key, *names).join(labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).alias("__label")), key)
-    rows = bounded_sample(joined, key, params.train_rows).collect()
+    rows = bounded_sample(joined, key, params.train_rows, labels)
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(names))
     return fit_rules(x, np.array([r["__label"] for r in rows], float), params)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import op2_language
 from .quality import op4_quality
+from .rules import op9_rules
 from .toxicity import op7_toxicity
 from .urlfilter import op5_urls
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_urls": op5_urls,
     "op7_toxicity": op7_toxicity,
+    "op9_rules": op9_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -131,9 +131,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = Toxic
     """docs: unlabelled texts; labels: key and label of rows that training may see. The class prior is the share of 1 among the labels."""
     prior = labels.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
     sized = docs.select(key, text).filter(F.length(text).between(1, params.train_chars))
-    confirmed = bounded_sample(labels.filter(F.col(label) == 1).select(key).distinct(), key, params.positives)
-    positive = [r[text] for r in sized.join(F.broadcast(confirmed), key).select(key, text).orderBy(key).limit(params.positives).collect()]
-    unlabelled = [r[text] for r in bounded_sample(sized, key, params.unlabelled).collect()]
+    confirmed = [r[key] for r in bounded_sample(labels.filter(F.col(label) == 1).select(key).distinct(), key, params.positives, labels)]
+    positive = [r[text] for r in sized.filter(F.col(key).isin(confirmed)).orderBy(key).limit(params.positives).collect()] if confirmed else []
+    unlabelled = [r[text] for r in bounded_sample(sized, key, params.unlabelled, docs)]
     return train_toxic_model(positive, unlabelled, float(prior), params)
 
 

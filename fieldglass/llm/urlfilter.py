@@ -98,7 +98,7 @@ class UrlModel:
 
 def train_url_model(labelled: DataFrame, params: UrlParams = UrlParams(), key: str = "page_id") -> UrlModel | None:
     """labelled: key, url, host, path and label (1: block). None without rows."""
-    rows = bounded_sample(labelled.select(key, "url", "host", "path", "label"), key, params.train_rows).collect()
+    rows = bounded_sample(labelled.select(key, "url", "host", "path", "label"), key, params.train_rows)
     if not rows:
         return None
     y = np.array([r["label"] for r in rows], float)
