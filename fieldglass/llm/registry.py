@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .langid import op2_language
 from .quality import op4_quality
 from .rules import op9_rules
@@ -9,10 +10,11 @@ from .toxicity import op7_toxicity
 from .urlfilter import op5_urls
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_language": op2_language,
     "op4_quality": op4_quality,
     "op5_urls": op5_urls,
     "op7_toxicity": op7_toxicity,
     "op9_rules": op9_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}
