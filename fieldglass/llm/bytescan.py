@@ -112,7 +112,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
         if c >= k:
             out.append(np.unique(whole[at : at + c - k + 1]))
         elif c:
-            out.append(mix(np.sum(hashes[at : at + c] * _TURN[:c], keepdims=True) + np.uint64(c) * _TURN[40]))
+            out.append(mix(np.sum(hashes[at : at + c] * _TURN[:c], keepdims=True) + _TURN[40 + c]))
         else:
             out.append(np.zeros(0, np.uint64))
     return out

@@ -3,8 +3,8 @@
 Boosted trees over text statistics give conjunctive rules, a lasso logistic regression keeps few of them, and those
 are compiled into one Spark column expression: 1 / (1 + exp(-(b + sum of weights of rules that hold))).
 
-Statistics come from one pass over whole texts (null counts as empty) and are written once, a few numbers per row;
-training reads a bounded sample of labelled rows. Without labels of both kinds every score is the known label, or 0.5.
+Statistics come from whole texts (null counts as empty). Training reads a bounded sample of labelled rows; scoring is
+one pass without a shuffle. Without labels of both kinds every score is near the known label, or 0.5.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import bounded_sample, crc_mod, table, written
+from .common import bounded_sample, crc_mod, table
 from .trees import bin_columns, fit_tree
 
 #: Names of the statistics, in the order of text_statistics.
@@ -79,9 +79,9 @@ def text_statistics(column: pa.Array) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "stat_") -> DataFrame:
-    """docs without the text, with one double column per statistic."""
+    """docs with one double column per statistic, in place of any columns of those names."""
     names = [prefix + s for s in STATISTICS]
-    keep = [c for c in docs.columns if c != text and c not in names]
+    keep = [c for c in docs.columns if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "stat_")
     schema = docs.select(*keep).schema
     for name in names:
         schema = schema.add(name, "double")
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep).mapInArrow(run, schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]
@@ -172,22 +172,25 @@ def fit_rules(x: np.ndarray, y: np.ndarray, params: QualityParams = QualityParam
     return RuleEnsemble(float(b - (weights * mean).sum()), found)
 
 
-def train_quality(stats: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), key: str = "doc_id", label: str = "quality", prefix: str = "stat_") -> RuleEnsemble:
-    """stats: key and statistics; labels: key and label of rows that training may see."""
+def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), key: str = "doc_id", text: str = "text", label: str = "quality", prefix: str = "stat_") -> RuleEnsemble:
+    """docs: key and text; labels: key and label of rows that training may see. Statistics are taken of sampled rows only."""
     names = [prefix + s for s in STATISTICS]
-    joined = stats.select(key, *names).join(labels.filter(F.col(label).isin(0, 1)).select(key, F.col(label).alias("__label")), key)
-    rows = bounded_sample(joined, key, params.train_rows, labels)
+    marked = {r[key]: r[label] for r in bounded_sample(labels.filter(F.col(label).isin(0, 1)).select(key, label), key, params.train_rows, labels)}
+    if not marked:
+        return fit_rules(np.zeros((0, len(names))), np.zeros(0), params)
+    # at most train_rows ids: small enough to send to every task
+    chosen = docs.sparkSession.createDataFrame([(k,) for k in marked], labels.select(key).schema)
+    rows = with_statistics(docs.select(key, text).join(F.broadcast(chosen), key)).select(key, *names).dropDuplicates([key]).orderBy(key).collect()
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(names))
-    return fit_rules(x, np.array([r["__label"] for r in rows], float), params)
+    return fit_rules(x, np.array([marked[r[key]] for r in rows], float), params)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, params: QualityParams = QualityParams(), key: str = "doc_id") -> DataFrame:
-    """key, held_out and score of every row; `learn` says over the key which labels training may see."""
-    stats = written(with_statistics(docs.select(key, "text")), "quality")
-    model = train_quality(stats, labels.filter(learn), params, key)
-    return stats.select(key, (~learn).alias("held_out"), model.column().alias("score"))
+def score_quality(docs: DataFrame, model: RuleEnsemble, score: str = "score") -> DataFrame:
+    """docs with the score added in place of any column of that name."""
+    return with_statistics(docs.drop(score)).withColumn(score, model.column()).drop(*("stat_" + s for s in STATISTICS))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    return score_quality(docs, model).select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
