@@ -1,10 +1,59 @@
-"""A corpus pipeline: each stage works on all that the one before it kept."""
+"""A corpus pipeline: each stage works on all that the one before it kept, and its result is written and read again.
+
+quality: documents that the rule ensemble scores under 0.5 go. lines: repeated runs of lines go from later texts; a
+text may become empty. near_duplicates: of each component of near copies the document with the smallest id stays.
+decontaminate: documents with a copy of a benchmark item, within its budget of edits, go. pieces: the rest is encoded.
+Rows with null ids or texts pass each stage unless its rule names them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldglass.llm.common import crc_mod, table, written
+from fieldglass.llm.decontaminate import drop_leaks
+from fieldglass.llm.line_dedup import dedupe_lines
+from fieldglass.llm.ngram_join import jaccard_components
+from fieldglass.llm.pieces import piece_rows
+from fieldglass.llm.quality import score_quality, train_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = train_quality(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
+    return score_quality(docs, model, "__score").filter("__score >= 0.5").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return dedupe_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = written(jaccard_components(docs), "components")
+    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
+        return kept
+    # rows that share an id are one document
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return piece_rows(docs)
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("pieces", pieces)]
+
+#: Learned scores, edit distances and lattice searches are beyond SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

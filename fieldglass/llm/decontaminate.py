@@ -160,5 +160,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return found
 
 
+def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", params: EditParams = EditParams()) -> DataFrame:
+    """The rows of docs without a match of any item."""
+    for block in item_blocks(items, item_key, item_text, params):
+
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block, params)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.matches(normal(t.as_py())) for t in batch.column(text)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
