@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A text is toxic if any of its distinct tokens is (noisy-or): P = 1 - exp(-sum softplus(token score)), and a token's
-score is the sum of hashed weights of itself and its character 4-grams. Training sees confirmed toxic texts and
+score is the sum of hashed weights of itself, its beginnings and its character 4-grams. Training sees confirmed toxic texts and
 unlabelled texts only, and lowers the class-prior-corrected risk  pi E_p[1 - P] + max(0, E_u[P] - pi E_p[P]).
 
 Null and empty texts score 0. Rows are independent: no shuffle after training.
@@ -10,6 +10,7 @@ Null and empty texts score 0. Rows are independent: no shuffle after training.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,8 +48,7 @@ def token_features(token: str, bits: int) -> list[int]:
     word = token.strip(_TRIM)
     if not word:
         return []
-    marked = f"^{word}$"
-    grams = {f"w{word}", *(marked[i : i + 4] for i in range(max(1, len(marked) - 3)))}
+    grams = {f"w{word}", *(word[i : i + 4] for i in range(len(word) - 3)), *(f"^{word[:n]}" for n in range(3, min(8, len(word))))}
     return [zlib.crc32(g.encode()) & ((1 << bits) - 1) for g in grams]
 
 
@@ -86,21 +86,28 @@ class ToxicModel:
 
 
 def train_toxic_model(positive: list[str], unlabelled: list[str], prior: float, params: ToxicParams = ToxicParams()) -> ToxicModel:
-    """Full-batch Adam on the non-negative risk; where its second term falls below zero the step climbs out again."""
+    """Full-batch Adam on the non-negative risk; where its second term falls below zero only the first one counts."""
     model = ToxicModel(np.zeros(1 << params.log2_weights, np.float32), params.start, params.log2_weights, params.cache)
     docs = [tokens(t) for t in (*positive, *unlabelled)]
     if not positive or not unlabelled:
         return model
     index: dict[str, int] = {}
-    word_of, doc_of = [], []
+    word_of, doc_of = array("i"), array("i")
     for d, found in enumerate(docs):
         for t in found:
             word_of.append(index.setdefault(t, len(index)))
             doc_of.append(d)
-    features = [token_features(t, params.log2_weights) for t in index]
-    feature_of = np.array([i for f in features for i in f], np.int64)
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    there = np.array([bool(f) for f in features])
+    feature_of, sizes = array("i"), array("i")
+    for t in index:
+        found = token_features(t, params.log2_weights)
+        feature_of.extend(found)
+        sizes.append(len(found))
+    del docs
+    n_words = len(index)
+    index.clear()
+    sizes, feature_of = np.array(sizes), np.array(feature_of)
+    owner = np.repeat(np.arange(n_words, dtype=np.int32), sizes)
+    there = sizes > 0
     used, feature_of = np.unique(feature_of, return_inverse=True)
     word_of, doc_of = np.array(word_of), np.array(doc_of)
     n_p, n_u = len(positive), len(unlabelled)
@@ -108,7 +115,7 @@ def train_toxic_model(positive: list[str], unlabelled: list[str], prior: float,
     w = np.zeros(len(used))
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     for it in range(params.steps):
-        s = params.start + np.bincount(owner, weights=w[feature_of], minlength=len(features))
+        s = params.start + np.bincount(owner, weights=w[feature_of], minlength=n_words)
         mass = np.where(there, np.logaddexp(0, s), 0.0)
         total = np.bincount(doc_of, weights=mass[word_of], minlength=n_p + n_u)
         p = -np.expm1(-total)
@@ -117,9 +124,9 @@ def train_toxic_model(positive: list[str], unlabelled: list[str], prior: float,
         if negative >= 0:
             by_p = np.where(is_p, -2 * prior / n_p, 1 / n_u)
         else:
-            by_p = np.where(is_p, prior / n_p, -1 / n_u)
+            by_p = np.where(is_p, -prior / n_p, 0.0)
         by_total = by_p * np.exp(-total)
-        by_s = np.bincount(word_of, weights=by_total[doc_of], minlength=len(features)) * there / (1 + np.exp(-s))
+        by_s = np.bincount(word_of, weights=by_total[doc_of], minlength=n_words) * there / (1 + np.exp(-s))
         grad = np.bincount(feature_of, weights=by_s[owner], minlength=len(used)) + params.decay * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         w -= params.rate * (m1 / (1 - 0.9 ** (it + 1))) / (np.sqrt(m2 / (1 - 0.99 ** (it + 1))) + 1e-7)
