@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -137,7 +138,7 @@ def snap_frame(df: DataFrame, key: str, frame: str, energy: str, trailing: int,
 
 def exponential_smoothing(df: DataFrame, key: str, order: str, value: str, alpha: float, out: str = "smooth") -> DataFrame:
     """WIN-27: s = alpha * v + (1 - alpha) * s, a recursion: one sorted group at a time, in Arrow batches."""
-    schema = df.schema.add(out, "double")
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order)
@@ -168,7 +169,7 @@ def greedy_match(pairs: DataFrame, group: str, left: str, right: str, order: lis
 
 def associate(detections: DataFrame, clip: str, frame: str, x: str, y: str, side: str, reach: float = 6.0) -> DataFrame:
     """JOIN-19: track ids frame by frame: each detection, in order, takes the nearest free track of its side within reach, else a new one."""
-    schema = detections.schema.add("track", "long")
+    schema = T.StructType([*detections.schema.fields, T.StructField("track", T.LongType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([frame, x, y]).reset_index(drop=True)
