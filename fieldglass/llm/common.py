@@ -10,8 +10,11 @@ import zlib
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import share_path
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    share_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
