@@ -132,17 +132,18 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", para
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_, runs = [], []
+            rows, runs = [], []
             for i in range(batch.num_rows):
                 line, words, other = (np.asarray(batch.column(c)[i].values) for c in ("line", "words", "other"))
                 hits = [(h["place"], h["there"]) for h in batch.column("hits")[i].as_py()]
-                found = _runs(line, other, words, hits, params.least_words)
-                docs_ += [batch.column("doc")[i].as_py()] * len(found)
-                runs += found
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array([a for a, _ in runs], pa.int32()), pa.array([b for _, b in runs], pa.int32())], ["doc", "first", "last"])
-
-    found = pairs.join(mine, "doc").join(theirs, "source").select("doc", "source", "hits", "line", "words", "other").mapInArrow(run, "doc long, first int, last int")
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("all"))
+                if found := _runs(line, other, words, hits, params.least_words):
+                    rows.append(i)
+                    runs.append([{"first": a, "last": b} for a, b in found])
+            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(runs, kind)], ["doc", "found"])
+
+    found = pairs.join(mine, "doc").join(theirs, "source").select("doc", "source", "hits", "line", "words", "other").mapInArrow(run, "doc long, found array<struct<first:int,last:int>>")
+    by_doc = found.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("all"))
     # overlapping and touching runs become one
     merged = F.aggregate("all", F.array().cast("array<struct<first:int,last:int>>"), lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= r["first"] - 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(r))))
     runs = written(by_doc.select("doc", merged.alias("runs")), "runs")
