@@ -34,12 +34,12 @@ class JoinParams:
 
     words: int = 5
     percent: int = 80
-    rounds: int = 4
+    rounds: int = 2
     bucket: int = 8_000_000
 
 
 #: Bytes of text whose shingles are packed together.
-PACK_BYTES = 8_000_000
+PACK_BYTES = 4_000_000
 #: Bits of a shingle's rank within its bucket.
 RANK_BITS = 26
 
@@ -278,11 +278,7 @@ def _components(classes: DataFrame, width: int, params: JoinParams) -> DataFrame
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if pairs.isEmpty():
-            if r < params.rounds and tested is not None:
-                continue
-            if r < params.rounds:
-                continue
-            break
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         found = written(_links(pairs, classes, width, params), "links")
         release(spark)
