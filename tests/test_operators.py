@@ -1,0 +1,180 @@
+import json
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldglass.functions import geometry, stats, strings
+from fieldglass.operators import metrics, sequences, tracks
+from fieldglass.sources import context, plays, tracking
+from fieldglass.sources.warehouse import Warehouse
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(columns))).first()
+
+
+def test_exact_tests_against_integer_arithmetic():
+    rng = random.Random(1)
+    for _ in range(40):
+        n, m = rng.randint(1, 30), rng.randint(1, 40)
+        a, c = rng.randint(0, n), rng.randint(0, m)
+        ways = {i: math.comb(n, i) * math.comb(m, a + c - i) for i in range(max(0, a + c - m), min(n, a + c) + 1)}
+        assert stats.fisher_p_value(a, n, c, m) == pytest.approx(sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values()), abs=1e-9)
+        p = rng.random()
+        mass = [math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(n + 1)]
+        assert stats.binomial_p_value(a, n, p) == pytest.approx(min(1, sum(x for x in mass if x <= mass[a] * (1 + 1e-7))), abs=1e-9)
+    assert stats.binomial_p_value(18, 20, 0.3) < 0.001 and stats.binomial_p_value(6, 20, 0.3) > 0.5
+    assert stats.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05) and stats.chi_square_tail(30, 10) == pytest.approx(0.000857, abs=1e-6)
+
+
+def test_intervals_and_shrinkage(spark):
+    k = lambda v: F.lit(v)
+    a, b, c = stats.wilson(k(3), k(3)), stats.wilson(k(0), k(8)), stats.posterior(k(3), k(3), k(0.3), k(20))
+    r = one(spark, a[0], a[1], b[0], b[1], c, stats.posterior(k(60), k(60), k(0.3), k(20)), stats.recency(k(7), k(10), 3.0))
+    assert 0 < r[0] < 1 and r[1] == 1 and r[2] == 0 and r[3] > 0 and 0.3 < r[4] < 0.55 and r[5] > 0.7 and r[6] == 0.5
+
+
+def test_q_values(spark):
+    from pyspark.sql import Row
+
+    df = spark.createDataFrame([Row(i=i, p=p) for i, p in enumerate([0.001, 0.01, 0.02, 0.3, 0.5])])
+    q = [r["q"] for r in df.withColumn("q", stats.benjamini_hochberg(F.col("p"), [F.col("i")])).orderBy("i").collect()]
+    assert q == pytest.approx([0.005, 0.025, 0.1 / 3, 0.375, 0.5])
+
+
+def test_strings(spark):
+    r = one(spark, strings.percent(F.lit(0.125)), strings.percent(F.lit(0.135), signed=True), strings.numbers_grounded(F.lit("about 42% of snaps"), F.array(F.lit(0.42))), strings.numbers_grounded(F.lit("71 %"), F.array(F.lit(0.42))), strings.sentence_list(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), strings.normalize_team(F.lit("  Saint José! "), {"saint jose": "SJ"}, unicode=True), strings.personnel_code(F.lit("1 RB, 1 TE, 3 WR")), strings.infer_game_id(F.lit("bdb-2018090600-75"), F.lit(1), F.lit(2), F.lit("a"), F.lit("b")), strings.spaced_label(F.lit("cover_3"), {"cover 3": "Cover 3 Zone"}))
+    assert list(r) == ["12%", "+14%", True, False, "a, b and c", "SJ", "11", "2018090600", "Cover 3 Zone"]
+
+
+def test_geometry(spark):
+    f = lambda *v: [F.lit(float(x)) for x in v]
+    h = [0.1, 0, 10, 0, 0.1, 5, 0, 0, 1]
+    x, y = geometry.project(h, F.lit(100.0), F.lit(70.0))
+    cross = geometry.intersection(f(0, 0, 2, 2), f(0, 2, 2, 0))
+    r = one(spark, geometry.iou(f(0, 0, 10, 10), f(5, 0, 15, 10)), x, y, *geometry.yolo_box(f(10, 20, 30, 60), F.lit(100.0), F.lit(200.0)), *cross, geometry.right_open(F.lit(3.0), [3, 7], ["a", "b", "c"]), geometry.right_closed(F.lit(3.0), [0, 3, 7], ["a", "b"]), geometry.usable(F.lit(9), F.lit(0.1), F.lit(1.0)))
+    assert r[0] == pytest.approx(50 / 150) and (r[1], r[2]) == (20, 12) and list(r[3:7]) == pytest.approx([0.2] * 4) and (r[7], r[8]) == (1, 1) and (r[9], r[10], r[11]) == ("b", "a", False)
+    with pytest.raises(Exception, match="direction"):
+        one(spark, geometry.normalize_xy(F.lit(1.0), F.lit(1.0), F.lit("up"))[0])
+
+
+def test_greedy_and_association(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.3)], "f int, a int, b int, s double")
+    got = {(r["a"], r["b"]) for r in sequences.greedy_match(pairs, "f", "a", "b", ["s"], [False]).collect()}
+    assert got == {(1, 1), (2, 2)}
+    det = spark.createDataFrame([(1, 0, 10.0, 10.0, "o"), (1, 0, 20.0, 20.0, "d"), (1, 1, 20.4, 19.7, "d"), (1, 1, 10.2, 10.1, "o"), (1, 2, 50.0, 5.0, "o")], "clip long, frame long, x double, y double, side string")
+    ids = [r["track"] for r in sequences.associate(det, "clip", "frame", "x", "y", "side").orderBy("frame", "x").collect()]
+    assert ids == [1, 2, 1, 2, 3]
+
+
+def test_average_precision(spark):
+    df = spark.createDataFrame([(0.9, True), (0.8, True), (0.2, False)], "s double, t boolean")
+    assert metrics.average_precision(metrics.precision_recall(df, "s", F.col("t"), 2, "t")).first()["ap"] == 1.0
+
+
+def test_tracking_summary(spark):
+    frames = spark.createDataFrame([(1, f, t) for f in range(10) for t in ("a", "b")], "clip int, frame int, truth string")
+    m = spark.createDataFrame([(1, f, "a", 1) for f in range(10)] + [(1, f, "b", 2 if f < 5 else 1) for f in range(10) if f != 3], "clip int, frame int, truth string, track int")
+    r = metrics.tracking_summary(m.filter("not (frame >= 5 and truth = 'a')"), frames).first()
+    assert r["id_switches"] == 1 and r["fragments"] == 2 and r["mostly_tracked"] == 0.5
+
+
+def test_cues_of_a_hand_made_play(spark):
+    def player(i, side, x, y, x0=None):
+        path = [float(x if x0 is None else x0)] * 6 + [float(x)] * 45
+        return (f"{side[0]}{i}", side, "S", path, [float(y)] * 51)
+
+    people = [player(0, "defense", 12, 3), player(1, "defense", 14, -9, x0=10), player(2, "defense", 4, 2), player(3, "defense", 1, 0), player(4, "defense", 5, 8), player(0, "offense", -1, 0)]
+    schema = "play_id string, situation struct<down:int,distance:double,yardline:double,score_margin:int,ball_y_from_center:double>, players array<struct<track_id:string,side:string,position:string,x:array<double>,y:array<double>>>"
+    play = spark.createDataFrame([("p", (0, 3.0, 50.0, 8, 2.0), people), ("q", None, [])], schema)
+    out = {r["play_id"]: r for r in tracks.cues(play, ["play_id"]).collect()}
+    p = out["p"]
+    assert (p["deep_defender_count"], p["shell"], p["safety_depth_mean_n"], p["safety_split_n"]) == ("2", "2-high", 13.0, 12.0)
+    assert (p["field_safety_bias_n"], p["field_safety_bias"]) == (3.0, "field") and (p["box_count_n"], p["los_defender_count_n"]) == (3.0, 1.0)
+    assert (p["rotation_n"], p["late_rotation"], p["rotation_direction"]) == (4.0, "yes", "back")
+    assert (p["down"], p["distance_band"], p["field_zone"], p["score_state"]) == ("unknown", "medium", "plus", "up-big")
+    assert out["q"]["deepest_depth_n"] is None
+    feats = {r["play_id"]: r for r in tracks.features(play, ["play_id"]).collect()}
+    assert feats["p"]["deep_count_1s"] == 2 and feats["q"]["deep_count_1s"] is None
+
+
+def test_resample_in_a_row(spark):
+    df = spark.createDataFrame([([-2.0, -1.9, 1.5, 2.0], [0.0, 1.0, 5.0, 6.0])], "t array<double>, v array<double>")
+    grid = F.array(*(F.lit(x) for x in (-2.04, -1.95, 0.0, 1.55, 1.9, 2.05, 2.2)))
+    got = df.select(tracks.resample_track(F.col("t"), F.col("v"), grid).alias("r")).first()["r"]
+    assert got[0] == 0.0 and got[1] == pytest.approx(0.5) and got[2] is None and got[5] == 6.0 and got[6] is None
+
+
+def test_plays_from_json(spark, tmp_path):
+    for i, name in enumerate(["b.json", "a.json", "predictions.json"]):
+        doc = {"play_id": name[0], "source": "film", "players": [{"track_id": "D_1", "side": "defense", "x": [0.0, float("nan")], "y": [1.0, 2.0]}]}
+        (tmp_path / name).write_text(json.dumps(doc))
+    loaded = plays.load_plays(spark, str(tmp_path))
+    assert sorted(r["play_id"] for r in loaded.collect()) == ["a", "b"]
+    first = plays.load_plays(spark, str(tmp_path), limit=1).first()
+    assert first["play_id"] == "a" and first["players"][0]["x"] == [0.0, None]
+    assert plays.resolve_source(loaded).count() == 2 and plays.resolve_source(loaded, "bdb").count() == 0
+
+
+def test_warehouse(spark, tmp_path):
+    house = Warehouse(spark, str(tmp_path))
+    assert house.read("plays").count() == 0
+    with pytest.raises(KeyError):
+        house.read("nothing")
+    house.write("plays", spark.createDataFrame([("a", 1), ("b", 1)], "play_id string, v int"))
+    house.write("plays", spark.createDataFrame([("b", 2), ("c", 2)], "play_id string, v int"), mode="append")
+    assert {(r["play_id"], r["v"]) for r in house.read("plays").collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    house.write("tells", spark.createDataFrame([(1,)], "x int"))
+    house.write("tells", spark.createDataFrame([(1,)], "x int"), mode="append")
+    assert house.query("select count(*) as n from tells").first()["n"] == 2
+    assert {(r["table"], r["rows"]) for r in house.summary().collect()} == {("plays", 3), ("tells", 2)}
+
+
+def test_tracking_build(spark, tmp_path):
+    (tmp_path / "games.csv").write_text("gameId,gameDate,week,homeTeamAbbr,visitorTeamAbbr\n1,09/06/2018,1,AAA,BBB\n")
+    (tmp_path / "week1.csv").write_text("gameId,playId,frameId,event,playDirection,team,nflId,x,y,jerseyNumber,position\n" + "".join(f"1,7,{f},{'ball_snap' if f == 3 else 'None'},left,{t},{n},{x},20,5,CB\n" for f in range(1, 6) for t, n, x in (("home", 11, 50 + f), ("away", 12, 60), ("football", "", 55))))
+    games = tracking.read_csv(spark, str(tmp_path / "games.csv"), tracking.GAMES)
+    frames = tracking.read_weeks(spark, [str(tmp_path / "week1.csv"), str(tmp_path / "week2.csv")], [1])
+    info = spark.createDataFrame([(1, 7, "AAA", 1, 10, "1 RB, 1 TE, 3 WR", 3, 0)], "gameId long, playId long, possessionTeam string, down int, yardsToGo int, personnelO string, preSnapHomeScore int, preSnapVisitorScore int")
+    labels = tracking.normalize_labels(spark.createDataFrame([("1", "7", "cover 3"), ("1", "7", "x"), (None, "7", "cover 3")], "game_id string, playId string, Coverage string"), {"cover 3": "Cover 3 Zone"}, ["Cover 3 Zone"])
+    play = tracking.build_plays(frames, info, games, labels).first()
+    assert (play["play_id"], play["defense_team"], play["season"], play["score_margin"], play["offense_personnel"], play["coverage"]) == ("bdb-1-7", "BBB", 2018, -3, "11", "Cover 3 Zone")
+    defender = next(p for p in play["players"] if p["side"] == "defense")
+    assert defender["path"][0]["t"] == -0.2 and defender["path"][0]["x"] == -5
+
+
+def test_context(spark):
+    raw = spark.createDataFrame([("g", 1, "AAA", "BBB", "1", 10.0, 6.0, 7, "bad"), ("g", 2, None, "BBB", "2", 0.0, 6.0, 7, "3")], "game_id string, play_id int, defteam string, posteam string, down string, ydstogo double, yards_gained double, score_differential int, week string")
+    out = context.from_play_by_play(raw).orderBy("play_id").collect()
+    assert out[0]["success"] is True and out[0]["week"] is None and out[0]["score_margin"] == -7 and out[1]["success"] is None
+    assert context.sniff(["Play ID", "Coverage Scheme", "x"])[0] == "per_snap" and context.sniff(["a"])[0] == "unknown"
+    a = context.to_play_context(spark.createDataFrame([("p", None)], "play_id string, coverage string"), "one")
+    b = context.to_play_context(spark.createDataFrame([("p", "Cover 1 Man")], "play_id string, coverage string"), "two")
+    assert context.merge_context([a, b]).first()["source"] == "two"
+
+
+def test_streams(spark, tmp_path):
+    from fieldglass.streaming.tracker import track_stream
+    from fieldglass.streaming.windows import upsert_sink, windowed
+
+    spark.createDataFrame([("2024-01-01 00:00:10", "a", 1.0), ("2024-01-01 00:09:00", "a", 2.0), ("2024-01-02 00:00:00", "b", 3.0)], "ts string, event_type string, value double").select(F.to_timestamp("ts").alias("ts"), "event_type", "value").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(f"{tmp_path}/in")
+    query = windowed(stream, "10 minutes", late="1 minute").writeStream.outputMode("complete").format("memory").queryName("windows_out").start()
+    query.processAllAvailable()
+    query.stop()
+    assert {(r["event_type"], r["n"], r["total"]) for r in spark.table("windows_out").collect()} == {("a", 2, 3.0), ("b", 1, 3.0)}
+
+    kept = {}
+    upsert = upsert_sink(lambda: kept.get("df"), lambda df, _: kept.update(df=spark.createDataFrame(df.collect(), df.schema)), ["k"], "v")
+    upsert(spark.createDataFrame([("a", 1), ("b", 1)], "k string, v int"), 0)
+    upsert(spark.createDataFrame([("a", 0)], "k string, v int"), 1)
+    assert {(r["k"], r["v"]) for r in kept["df"].collect()} == {("a", 0), ("b", 1)}
+
+    spark.createDataFrame([(1, 0, 1.0, 1.0, "o"), (1, 1, 2.0, 1.0, "o"), (1, 40, 2.0, 1.0, "o")], "clip long, frame long, x double, y double, side string").coalesce(1).write.parquet(f"{tmp_path}/det")
+    found = track_stream(spark.readStream.schema("clip long, frame long, x double, y double, side string").parquet(f"{tmp_path}/det"))
+    query = found.writeStream.format("memory").queryName("tracks_out").outputMode("append").start()
+    query.processAllAvailable()
+    query.stop()
+    assert [r["track"] for r in spark.table("tracks_out").orderBy("frame").collect()] == [1, 1, 2]
