@@ -136,7 +136,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, params: QualityParams = QualityParam
     z, rules = np.zeros(len(y)), {}
     for _ in range(params.trees):
         p = 1 / (1 + np.exp(-z))
-        tree = fit_tree(codes, cuts, p - y, p * (1 - p), int(rng.integers(1, params.depth + 1)), rows=np.flatnonzero(rng.random(len(y)) < params.share))
+        tree = fit_tree(codes, cuts, p - y, p * (1 - p), int(rng.integers(1, params.depth + 1)), least=min(5.0, max(0.5, len(y) / 200)), rows=np.flatnonzero(rng.random(len(y)) < params.share))
         z += 0.3 * tree.predict(x)
         rules |= {tuple(sorted(path)): None for path in tree.paths()}
     kept, columns = [], []
@@ -152,7 +152,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray, params: QualityParams = QualityParam
     mean, scale = a.mean(axis=0), a.std(axis=0)
     a = (a - mean) / scale
     # the largest eigenvalue of a'a / n bounds the curvature
-    v = np.ones(a.shape[1], np.float32)
+    v = rng.normal(size=a.shape[1]).astype(np.float32)
     for _ in range(20):
         v = a.T @ (a @ v)
         v /= np.linalg.norm(v)
