@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,11 +34,11 @@ LITERAL = "\x00" + MARK
 
 @dataclass(frozen=True)
 class PieceParams:
-    """nbest: segmentations searched; cache: segments that a worker keeps at most; penalty: below the lowest score, for a fallback byte."""
+    """nbest: segmentations searched; cache: segments in each of a worker's two generations; penalty: below the lowest score, for a fallback byte."""
 
     model: str = "/opt/tokenizers/piece_bpe_32k.model"
     nbest: int = 4
-    cache: int = 150_000
+    cache: int = 180_000
     penalty: float = 10.0
     rows: int = 256
 
@@ -50,6 +51,7 @@ class Vocabulary:
     penalty: float
 
     def __post_init__(self):
+        self.mark = zlib.crc32(b"\0".join(self.surface))
         # a tree of characters; the empty key holds the piece that ends there
         self.tree: dict = {}
         for p, found in self.pieces.items():
@@ -87,11 +89,11 @@ def load_vocabulary(params: PieceParams = PieceParams()) -> Vocabulary:
 Edge = tuple[int, int, tuple[int, ...] | int, float]
 
 
-def lattice(segment: str, v: Vocabulary) -> tuple[list[Edge], list[float], list[int]]:
-    """The edges (start, end, id or ids, score) by rising start, the best score from the start to each place, and the last edge of that best path (-1: none)."""
+def lattice(segment: str, v: Vocabulary) -> tuple[list[Edge], list[float]]:
+    """The edges (start, end, id or ids, score) by rising start, and the best score from the start to each place."""
     n = len(segment)
     edges: list[Edge] = []
-    best, last = [float("-inf")] * (n + 1), [-1] * (n + 1)
+    best = [float("-inf")] * (n + 1)
     best[0] = 0.0
     for i in range(n):
         here, node, j = best[i], v.tree.get(segment[i]), i + 1
@@ -100,55 +102,66 @@ def lattice(segment: str, v: Vocabulary) -> tuple[list[Edge], list[float], list[
             s = v.penalty * len(raw)
             edges.append((i, j, tuple([v.bytes_[b] for b in raw]), s))
             if here + s > best[j]:
-                best[j], last[j] = here + s, len(edges) - 1
+                best[j] = here + s
         while node is not None:
             found = node.get("")
             if found is not None:
                 s = found[1]
                 edges.append((i, j, found[0], s))
                 if here + s > best[j]:
-                    best[j], last[j] = here + s, len(edges) - 1
+                    best[j] = here + s
             if j >= n:
                 break
             node = node.get(segment[j])
             j += 1
-    return edges, best, last
+    return edges, best
 
 
 def viterbi(segment: str, v: Vocabulary) -> tuple[tuple[int, ...], float, float]:
-    """Best ids, their score, and what the second best segmentation loses (infinite if there is none).
-
-    The second best path has an edge that the best one has not, so its loss is the smallest over those edges of the
-    best score through the edge: forward score, edge and backward score.
-    """
+    """Best ids, their score, and what the second best segmentation loses (infinite if there is none): one forward pass with the two best scores of each place."""
     if segment == LITERAL:
         raw = MARK.encode()
         return tuple(v.bytes_[b] for b in raw), v.penalty * len(raw), float("inf")
-    edges, best, last = lattice(segment, v)
-    n = len(segment)
-    on, at = set(), n
-    while at:
-        on.add(last[at])
-        at = edges[last[at]][0]
-    total, loss = best[n], float("inf")
-    after = [float("-inf")] * n + [0.0]
-    for k in range(len(edges) - 1, -1, -1):
-        i, j, _, s = edges[k]
-        s += after[j]
-        if s > after[i]:
-            after[i] = s
-        if k not in on:
-            s = total - best[i] - s
-            if s < loss:
-                loss = s
+    n, none = len(segment), float("-inf")
+    best, second, back = [none] * (n + 1), [none] * (n + 1), [None] * (n + 1)
+    best[0] = 0.0
+    tree = v.tree
+    for i in range(n):
+        here, other, node, j = best[i], second[i], tree.get(segment[i]), i + 1
+        if node is None or "" not in node:
+            raw = segment[i].encode()
+            s = v.penalty * len(raw)
+            x = here + s
+            if x > best[j]:
+                second[j] = max(best[j], other + s)
+                best[j], back[j] = x, (i, tuple([v.bytes_[b] for b in raw]))
+            elif x > second[j]:
+                second[j] = x
+        while node is not None:
+            found = node.get("")
+            if found is not None:
+                s = found[1]
+                x = here + s
+                if x > best[j]:
+                    y = other + s
+                    second[j] = best[j] if best[j] > y else y
+                    best[j], back[j] = x, (i, found[0])
+                elif x > second[j]:
+                    second[j] = x
+            if j >= n:
+                break
+            node = node.get(segment[j])
+            j += 1
     ids: list[int] = []
-    for k in sorted(on):
-        own = edges[k][2]
+    at = n
+    while at:
+        at, own = back[at]
         if own.__class__ is int:
             ids.append(own)
         else:
-            ids += own
-    return tuple(ids), total, loss
+            ids += own[::-1]
+    ids.reverse()
+    return tuple(ids), best[n], best[n] - second[n]
 
 
 def search(segment: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -156,7 +169,7 @@ def search(segment: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int,
     if segment == LITERAL:
         raw = MARK.encode()
         return [(v.penalty * len(raw), tuple(v.bytes_[b] for b in raw))]
-    edges, best, _ = lattice(segment, v)
+    edges, best = lattice(segment, v)
     ending: list[list] = [[] for _ in range(len(segment) + 1)]
     for i, j, own, s in edges:
         ending[j].append((i, (own,) if isinstance(own, int) else own, s))
@@ -180,14 +193,16 @@ def search(segment: str, v: Vocabulary, n: int) -> list[tuple[float, tuple[int,
 class Encoder:
     def __init__(self, v: Vocabulary, params: PieceParams):
         self.v, self.params = v, params
+        # two generations: what is used stays when the younger one is full, the rest goes
         self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
         self.more: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 
     def segment(self, s: str) -> tuple[tuple[int, ...], float, float]:
-        entry = viterbi(s, self.v)
+        entry = self.older.get(s) or viterbi(s, self.v)
         if len(s) <= 64:
             if len(self.known) >= self.params.cache:
-                self.known.clear()
+                self.older, self.known = self.known, {}
             self.known[s] = entry
         return entry
 
@@ -216,9 +231,9 @@ class Encoder:
     def encode(self, text: str | None) -> tuple[array, float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Best ids, their score, and the next best as (score, edits (at, drop, ids) of the best)."""
         ids, score, losses = array("i"), 0.0, []
-        known, segments = self.known, self.split(text or "")
+        segments = self.split(text or "")
         for s in segments:
-            entry = known.get(s) or self.segment(s)
+            entry = self.known.get(s) or self.segment(s)
             ids.extend(entry[0])
             score += entry[1]
             losses.append(entry[2])
@@ -226,14 +241,18 @@ class Encoder:
         pool = [k for k in heapq.nsmallest(self.params.nbest - 1, range(len(losses)), key=losses.__getitem__) if losses[k] < float("inf")]
         chosen, at, passed = [(0.0, ())], 0, 0
         for k in sorted(pool):
-            at += sum(len((known.get(s) or self.segment(s))[0]) for s in segments[passed:k])
+            at += sum(len((self.known.get(s) or self.segment(s))[0]) for s in segments[passed:k])
             passed = k
-            own, own_score, _ = known.get(segments[k]) or self.segment(segments[k])
+            own, own_score, _ = self.known.get(segments[k]) or self.segment(segments[k])
             more = [(loss + d, (*edits, (at, len(own), alt))) for loss, edits in chosen for d, alt in self.others(segments[k], own, own_score)]
             chosen = sorted([*chosen, *more], key=lambda x: (x[0], len(x[1]), x[1]))[: self.params.nbest]
         return ids, score, [(score - loss, sorted(edits)) for loss, edits in chosen[1:]]
 
 
+#: By parameters and vocabulary; one at a time.
+_ENCODERS: dict[tuple[PieceParams, int], Encoder] = {}
+
+
 def apply_edits(ids: list[int], edits: list[tuple[int, int, tuple[int, ...]]]) -> list[int]:
     """The ids of another segmentation, from the best ones and its edits."""
     out, at = [], 0
@@ -258,7 +277,11 @@ def encode_pieces(docs: DataFrame, v: Vocabulary, params: PieceParams = PiecePar
     kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", edit)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(v, params)
+        # a worker's later tasks find what earlier ones have learned
+        encoder = _ENCODERS.get((params, v.mark))
+        if encoder is None:
+            _ENCODERS.clear()
+            encoder = _ENCODERS[params, v.mark] = Encoder(v, params)
         for whole in batches:
             for lo in range(0, whole.num_rows, params.rows):
                 batch = whole.slice(lo, params.rows)
