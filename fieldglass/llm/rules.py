@@ -23,13 +23,14 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class OutlierParams:
-    """share: of a group's rows in an estimate; cutoff: on squared distances (14 transformed statistics would be chi-square); least: rows that a group needs."""
+    """share: of a group's rows in an estimate; cutoff: on squared distances of five statistics; least: rows that a group needs; most_sent: groups whose estimates (some 25 numbers each) may be broadcast."""
 
     share: float = 0.75
     steps: int = 3
     cutoff: float = 60.0
     least: int = 100
     ridge: float = 1e-3
+    most_sent: int = 20_000
 
 
 def base_counts(text: Column) -> dict[str, Column]:
@@ -107,9 +108,13 @@ def robust_distances(rows: DataFrame, by: list[str], d: int, floors: list[float]
     centre = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{x}") for x in names))
     start = centre.select(*by, "n", *(F.col(f"q_x{i}")[1].alias(f"m{i}") for i in range(d)), *((F.pow((F.col(f"q_x{i}")[2] - F.col(f"q_x{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs(d)))
 
+    # few enough groups go to every task, so that a hot group's rows need not meet in one; beyond that Spark joins by shuffle and splits what is skewed
+    groups = rows.select(*by).distinct().limit(params.most_sent + 1).count()
+    sent = F.broadcast if groups <= params.most_sent else (lambda df: df)
+
     def measured(estimates: DataFrame) -> DataFrame:
         wanted = _factored(estimates, d, floors, params.ridge).select(*by, "n", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in _pairs(d)))
-        out = rows.join(wanted, by)
+        out = rows.join(sent(wanted), by)
         for name, step in _distance(d):
             out = out.withColumn(name, step)
         return out.withColumn("distance2", sum((F.pow(f"y{i}", 2) for i in range(d)), F.lit(0.0))).select(*rows.columns, "n", "distance2")
@@ -118,7 +123,7 @@ def robust_distances(rows: DataFrame, by: list[str], d: int, floors: list[float]
     for _ in range(params.steps):
         near = measured(estimates)
         limit = near.groupBy(*by).agg(F.percentile_approx("distance2", F.lit(params.share), 2000).alias("__limit"))
-        inner = near.join(limit, by).filter(F.col("distance2") <= F.col("__limit"))
+        inner = near.join(sent(limit), by).filter(F.col("distance2") <= F.col("__limit"))
         estimates = written(_moments(inner, by, d).drop("n").join(centre.select(*by, "n"), by), "mcd")
     return measured(estimates)
 
@@ -136,8 +141,8 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by:
     passing = rows.filter(~F.col("base_failed"))
     for k in range(len(groups), 0, -1):
         sizes = passing.groupBy(*groups[:k]).agg(F.count(F.lit(1)).alias("__n"))
-        small = sizes.filter(F.col("__n") < params.least).select(*groups[:k], F.lit(True).alias("__small"))
-        merged = passing.join(small, groups[:k], "left")
+        small = written(sizes.filter(F.col("__n") < params.least).select(*groups[:k], F.lit(True).alias("__small")), "small")
+        merged = passing.join(F.broadcast(small) if small.count() <= params.most_sent else small, groups[:k], "left")
         passing = merged.withColumn(groups[k - 1], F.when(F.col("__small"), F.lit("\x00rest")).otherwise(F.col(groups[k - 1]))).drop("__small")
     judged = robust_distances(passing.select(key, *groups, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{i}" for i in range(len(stats)))), groups, len(stats), floors, params)
     final = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
