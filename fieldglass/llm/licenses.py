@@ -2,7 +2,8 @@
 
 Units are lines, blocks between blank lines and the whole text, so a notice is found wherever it stands alone. Size
 bounds prune first: with t the threshold, a unit of s bigrams can only reach a template of b bigrams if
-t / (2 - t) * b <= s <= (2 - t) / t * b. DataFrame functions only, and no shuffle: each row is judged by itself.
+t / (2 - t) * b <= s <= (2 - t) / t * b. Texts and units without any word that a match must have are passed over
+first. DataFrame functions only, and no shuffle: each row is judged by itself.
 
 Null, empty and licence-free texts have a null license, dice 0 and no matched units. A tie goes to the first template.
 """
@@ -53,6 +54,24 @@ def bounds(size: int, threshold: float) -> tuple[float, float]:
     return threshold / (2 - threshold) * size, (2 - threshold) / threshold * size
 
 
+def needed_words(threshold: float) -> list[str]:
+    """Words of which every text that reaches the threshold with any template has one.
+
+    Such a text shares at least t / (2 - t) of a template's bigrams. So words that stand in more than the rest of them
+    cannot all be missing; for each template its longest words are taken until they do.
+    """
+    found = set()
+    for _, text in TEMPLATES:
+        own = bigrams(text)
+        left = set(own)
+        for word in sorted({w for b in own for w in b.split()}, key=lambda w: (-len(w), w)):
+            if len(left) < threshold / (2 - threshold) * len(own):
+                break
+            found.add(word)
+            left = {b for b in left if word not in b.split()}
+    return sorted(found)
+
+
 def unit_matches(text: Column, params: LicenseParams = LicenseParams()) -> Column:
     """Structs (dice, template) of the units that reach the threshold, the best template of each."""
     known = [bigrams(t) for _, t in TEMPLATES]
@@ -75,8 +94,9 @@ def unit_matches(text: Column, params: LicenseParams = LicenseParams()) -> Colum
         return F.transform(pairs, lambda b: F.when(F.size(b).between(low, high) & F.arrays_overlap(b, vocabulary), against(b)))[0]
 
     normal = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")
-    units = F.transform(F.array(normal), lambda t: F.array_distinct(F.concat(F.split(t, "\n"), F.split(t, "\n *\n[ \n]*"), F.array(t))))[0]
-    return F.filter(F.transform(units, scan), lambda m: m["dice"] >= params.threshold)
+    needed = "(?:^|[ \n])(?:" + "|".join(needed_words(params.threshold)) + ")(?:[ \n]|$)"
+    units = lambda t: F.filter(F.array_distinct(F.concat(F.split(t, "\n"), F.split(t, "\n *\n[ \n]*"), F.array(t))), lambda u: u.rlike(needed))
+    return F.transform(F.array(normal), lambda t: F.when(t.rlike(needed), F.filter(F.transform(units(t), scan), lambda m: m["dice"] >= params.threshold)).otherwise(F.array().cast("array<struct<dice:double,template:int>>")))[0]
 
 
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", params: LicenseParams = LicenseParams()) -> DataFrame:
