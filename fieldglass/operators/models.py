@@ -67,16 +67,18 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     return sorted(zip(vector.getInputCols(), forest.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
-def permutation_importance(model: PipelineModel, df: DataFrame, numbers: list[str], categories: list[str], label: str, seed: int = 3) -> DataFrame:
-    """ML-04: the loss of accuracy when a column's values are dealt to other rows."""
+def permutation_importance(model: PipelineModel, df: DataFrame, numbers: list[str], categories: list[str], label: str, seed: int = 3, bucket: int = 10_000) -> DataFrame:
+    """ML-04: the loss of accuracy when a column's values are dealt to other rows, within hashed buckets of about `bucket` rows, so no task orders all rows."""
     from pyspark.sql.window import Window
 
     right = lambda frame: predict(model, frame, numbers, categories).agg(F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("a")).first()["a"]
     whole, rows = right(df), []
-    keyed = df.withColumn("__k", F.row_number().over(Window.orderBy(F.xxhash64(*[F.col(c) for c in df.columns if c != label]))))
+    own = F.xxhash64(*df.columns)
+    keyed = df.withColumn("__b", F.pmod(own, F.lit(max(1, df.count() // bucket))))
+    keyed = keyed.withColumn("__k", F.row_number().over(Window.partitionBy("__b").orderBy(own)))
     for c in [*numbers, *categories]:
-        other = keyed.select(F.row_number().over(Window.orderBy(F.xxhash64(F.col("__k"), F.lit(seed)))).alias("__k"), F.col(c).alias("__v"))
-        rows.append((c, whole - right(keyed.join(other, "__k").withColumn(c, F.col("__v")).drop("__v", "__k"))))
+        other = keyed.select("__b", F.row_number().over(Window.partitionBy("__b").orderBy(F.xxhash64("__k", F.lit(seed)), "__k")).alias("__k"), F.col(c).alias("__v"))
+        rows.append((c, whole - right(keyed.join(other, ["__b", "__k"]).withColumn(c, F.col("__v")).drop("__v", "__b", "__k"))))
     return df.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 

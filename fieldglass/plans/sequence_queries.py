@@ -243,14 +243,14 @@ def acceptance_gates(spark, d):
     return rounded(metrics.gates(row, {"accuracy": (0.5, 0.9), "confidence": (0.6, 0.9)}))
 
 
-BOXES = """b AS (SELECT p_partkey AS id, p_partkey % 40 AS frame, (p_size * 7) % 90 AS x, (p_partkey * 13) % 60 AS y, 12 + p_size % 9 AS w, 9 + p_partkey % 7 AS h, p_retailprice AS conf, p_partkey % 80 < 40 AS truth FROM part),
+BOXES = """b AS (SELECT p_partkey AS id, p_partkey // 50 AS frame, (p_size * 7) % 90 AS x, (p_partkey * 13) % 60 AS y, 12 + p_size % 9 AS w, 9 + p_partkey % 7 AS h, p_retailprice AS conf, p_partkey % 50 < 25 AS truth FROM part),
 pr AS (SELECT p.id AS p_id, t.id AS t_id, p.frame, p.conf, greatest(0, least(p.x + p.w, t.x + t.w) - greatest(p.x, t.x)) * greatest(0, least(p.y + p.h, t.y + t.h) - greatest(p.y, t.y)) AS i, p.w * p.h + t.w * t.h AS u FROM b p JOIN b t ON p.frame = t.frame AND NOT p.truth AND t.truth)"""
 
 
 def _boxes(spark, d):
     p = table(spark, d, "part")
     size, key = F.col("p_size").cast("long"), F.col("p_partkey")
-    box = p.select(key.alias("id"), (key % 40).alias("frame"), (size * 7 % 90).alias("x1"), (key * 13 % 60).alias("y1"), (12 + size % 9).alias("w"), (9 + key % 7).alias("h"), F.col("p_retailprice").alias("conf"), (key % 80 < 40).alias("truth"))
+    box = p.select(key.alias("id"), F.floor(key / 50).alias("frame"), (size * 7 % 90).alias("x1"), (key * 13 % 60).alias("y1"), (12 + size % 9).alias("w"), (9 + key % 7).alias("h"), F.col("p_retailprice").alias("conf"), (key % 50 < 25).alias("truth"))
     return box.select("*", (F.col("x1") + F.col("w")).alias("x2"), (F.col("y1") + F.col("h")).alias("y2"))
 
 
@@ -288,7 +288,7 @@ def detection_metrics(spark, d):
 @query()
 def association(spark, d):
     """JOIN-19, JOIN-20, STR-02."""
-    b = _boxes(spark, d).select((F.col("id") % 5).alias("clip"), "frame", F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y"), F.when(F.col("truth"), "offense").otherwise("defense").alias("side"))
+    b = _boxes(spark, d).select(F.floor(F.col("id") / 100).alias("clip"), (F.col("id") % 10).alias("frame"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y"), F.when(F.col("truth"), "offense").otherwise("defense").alias("side"))
     return sequences.associate(b, "clip", "frame", "x", "y", "side")
 
 
@@ -333,15 +333,23 @@ def json_flatten(spark, d):
     return e.select("event_id", "p.k", (F.col("p.k") % 2 == 0).alias("even"))
 
 
-@query("SELECT a.vec_id AS a, arg_max(b.vec_id, [list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), -b.vec_id]) AS nearest, round(max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])), 5) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id")
-def cosine_nearest(spark, d):
-    """JOIN-18 (candidates), AGG-29: the nearest vector of the same label."""
-    unit = table(spark, d, "embeddings").withColumn("e", F.transform("embedding", lambda x: x.cast("double")))
-    unit = unit.withColumn("e", F.transform(F.array(F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))), lambda n: F.transform("e", lambda x: x / n))[0])
-    a, b = unit.select(F.col("vec_id").alias("a"), "label", F.col("e").alias("ea")), unit.select(F.col("vec_id").alias("b"), "label", F.col("e").alias("eb"))
-    dot = F.aggregate(F.zip_with("ea", "eb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, "label").filter("a <> b").withColumn("c", dot)
-    return pairs.groupBy("a").agg(F.max(F.struct("c", (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("nearest"), F.round("m.c", 5).alias("cosine"))
+@query("""WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT label, i, avg(e[i]) AS m FROM u, range(1, 65) r(i) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS m FROM p GROUP BY label)
+SELECT vec_id, arg_max(c.label, [round(list_cosine_similarity(u.e, c.m), 9), -c.label]) AS nearest, round(max(list_cosine_similarity(u.e, c.m)), 5) AS cosine FROM u, c GROUP BY vec_id""")
+def centroid_assign(spark, d):
+    """AGG-29, ML-07 (assignment), VIS-09: the nearest mean vector of a label by cosine; the few means travel as one row."""
+    from pyspark.sql import Column
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+    u = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    means = u.select("label", F.posexplode("e")).groupBy("label", "pos").agg(F.avg("col").alias("m"))
+    centroids = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("m"))
+    row = centroids.agg(F.collect_list(F.struct("label", "m")).alias("c"))
+    both = u.crossJoin(F.broadcast(row))  # one row, a vector for each label
+    cosine = lambda c: dot(F.col("e"), c["m"]) / F.sqrt(dot(F.col("e"), F.col("e"))) / F.sqrt(dot(c["m"], c["m"]))
+    best = F.array_max(F.transform("c", lambda c: F.struct(F.round(cosine(c), 9).alias("s"), (-c["label"]).alias("l"))))
+    return both.select("vec_id", best.alias("b")).select("vec_id", (-F.col("b.l")).alias("nearest"), F.round("b.s", 5).alias("cosine"))
 
 
 @query("WITH c AS (SELECT label, avg(embedding[1]::DOUBLE) AS m1, median(embedding[2]::DOUBLE) AS m2, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, round(m1, 5) AS mean1, round(m2, 5) AS median2 FROM c")
