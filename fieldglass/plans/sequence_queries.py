@@ -15,7 +15,9 @@ def _ordered(spark, d):
     return table(spark, d, "events").withColumn("t", (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.lit(1704067200)).cast("double"))
 
 
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
 E = "e AS (SELECT *, CAST(epoch(date_trunc('second', ts)) - 1704067200 AS DOUBLE) AS t FROM events)"
 
 
@@ -88,7 +90,7 @@ def resample_grid(spark, d):
 SELECT r.user_id, r.event_id, round(CASE WHEN r.n = 1 THEN 0 ELSE (h.value - l.value) / ((h.i - l.i) * 0.1) END, 4) AS velocity FROM r JOIN r h ON h.user_id = r.user_id AND h.i = least(r.i + 2, r.n) JOIN r l ON l.user_id = r.user_id AND l.i = greatest(r.i - 2, 1)""")
 def velocity(spark, d):
     """WIN-04."""
-    out = table(spark, d, "events").select("user_id", "event_id", sequences.central_difference(F.col("value"), BY_USER, 2, 0.1).alias("velocity"))
+    out = table(spark, d, "events").select("user_id", "event_id", sequences.central_difference(F.col("value"), by_user(), 2, 0.1).alias("velocity"))
     return rounded(out, "velocity", digits=4)
 
 
@@ -96,13 +98,13 @@ def velocity(spark, d):
 def median_filter(spark, d):
     """WIN-06, TRAP-01."""
     e = table(spark, d, "events").withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
-    return rounded(e.select("user_id", "event_id", sequences.median3(F.col("value"), BY_USER).alias("smooth")))
+    return rounded(e.select("user_id", "event_id", sequences.median3(F.col("value"), by_user()).alias("smooth")))
 
 
 @query("SELECT user_id, event_id, round(CASE WHEN count(*) OVER (PARTITION BY user_id) < 4 THEN value ELSE sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 END, 6) AS smooth FROM events")
 def moving_average(spark, d):
     """WIN-09, TRAP-13."""
-    return rounded(table(spark, d, "events").select("user_id", "event_id", sequences.moving_average(F.col("value"), BY_USER, 4).alias("smooth")))
+    return rounded(table(spark, d, "events").select("user_id", "event_id", sequences.moving_average(F.col("value"), by_user(), 4).alias("smooth")))
 
 
 @query(f"WITH {E}, g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 43200 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user_id, session::BIGINT AS session, count(*) AS events, max(t) - min(t) AS seconds FROM s GROUP BY ALL")
@@ -144,14 +146,14 @@ def spaced_spikes(spark, d):
 y AS (SELECT *, CASE WHEN loud / greatest(quiet, 1e-6) >= 1.5 THEN loud - quiet END AS gain FROM x), z AS (SELECT *, max(gain) OVER (PARTITION BY user_id) AS peak FROM y) SELECT user_id, min(f) AS frame FROM z WHERE gain >= 0.4 * peak GROUP BY user_id""")
 def snap_frames(spark, d):
     """WIN-10."""
-    e = table(spark, d, "events").withColumn("frame", F.row_number().over(BY_USER).cast("long"))
+    e = table(spark, d, "events").withColumn("frame", F.row_number().over(by_user()).cast("long"))
     return sequences.snap_frame(e, "user_id", "frame", "value", 5, 3, 1.5)
 
 
 @query("SELECT user_id, arg_min(event_id, -jump * 1e6 + i) AS event_id FROM (SELECT *, abs(lead(value) OVER w - value) AS jump, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE jump IS NOT NULL GROUP BY user_id")
 def largest_jump(spark, d):
     """WIN-25, WIN-21: the first of the largest steps."""
-    e = table(spark, d, "events").withColumns({"jump": F.abs(F.lead("value").over(BY_USER) - F.col("value")), "i": F.row_number().over(BY_USER)}).filter("jump is not null")
+    e = table(spark, d, "events").withColumns({"jump": F.abs(F.lead("value").over(by_user()) - F.col("value")), "i": F.row_number().over(by_user())}).filter("jump is not null")
     return e.groupBy("user_id").agg(F.min_by("event_id", -F.col("jump") * 1e6 + F.col("i")).alias("event_id"))
 
 
