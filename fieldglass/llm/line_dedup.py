@@ -124,6 +124,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", para
     prints = written(_fingerprint_table(docs, key, text, params), "lines")
     marks = prints.select("doc", F.explode(F.arrays_zip("gram", "place")).alias("m")).select(F.col("m.gram").alias("gram"), "doc", F.col("m.place").alias("place"))
     first = marks.groupBy("gram").agg(F.min(F.struct("doc", "place")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "f")
+    # written, so that the join below is of two plain sides and Spark can split a gram that very many documents have
+    first = written(first, "first")
     later = marks.join(first, "gram").filter(F.struct("doc", "place") > F.col("f")).select("doc", F.col("f.doc").alias("source"), "place", F.col("f.place").alias("there"))
     pairs = written(later.groupBy("doc", "source").agg(F.collect_set(F.struct("place", "there")).alias("hits")), "hits")
     release(spark)
