@@ -1,11 +1,10 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup over line hashes.
 
-Lines are cut at newlines and after sentence ends, and hashed by their words (A-Z as a-z, any white space). A gram is
-the shortest run of lines from a place with `gram_words` words; from each place, of the grams within the shortest run
-of `window_words` words, the one with the smallest hash is a fingerprint. Any run of that many words that two places
-share therefore shares a fingerprint. Each fingerprint's first occurrence, by document id and place, stands for it;
-every later one is joined with it, the match is extended line by line both ways, and the later run goes if it has
-`least_words` words. The text between runs stays as it is.
+Lines are cut at newlines and after sentence ends, and hashed by their words (A-Z as a-z, any white space). A run of
+lines that occurred before, by document id and place, goes if it has `least_words` words, whichever earlier text holds
+it. Such runs are found by their grams: from each line, and up to each line, the shortest run with `least_words` words.
+Every line of a repeated run is in a gram within that run, and a gram that occurred before is itself such a run; so the
+lines that go are those of all occurrences of a gram but its first. The text between runs stays as it is.
 
 Null and empty texts have no lines; null ids take no part. Rows that share an id are one document.
 """
@@ -26,6 +25,8 @@ from .common import release, table, written
 
 @dataclass(frozen=True)
 class LineParams:
+    """least_words: of a repeated run that goes; gram_words and window_words: of winnowing in fingerprints."""
+
     gram_words: int = 25
     window_words: int = 50
     least_words: int = 40
@@ -53,7 +54,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def fingerprints(line: np.ndarray, words: np.ndarray, rows: np.ndarray, params: LineParams) -> tuple[np.ndarray, np.ndarray]:
-    """The lines at which a selected gram starts, and its hash."""
+    """The lines at which a gram that winnowing selects starts, and its hash; repeated_runs takes all grams instead."""
     n = len(line)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -81,74 +82,74 @@ def fingerprints(line: np.ndarray, words: np.ndarray, rows: np.ndarray, params:
     return best, grams[best]
 
 
-def _fingerprint_table(docs: DataFrame, key: str, text: str, params: LineParams) -> DataFrame:
-    """One row per document: its line hashes, their words, and its fingerprints with their lines."""
+def grams(line: np.ndarray, words: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First line, last line and hash of every shortest run of `least` words, from each line on and up to each line."""
+    n = len(line)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    total = np.cumsum(words)
+    before = total - words
+    end = np.searchsorted(total, before + least)
+    begin = np.searchsorted(before, total - least, "right") - 1
+    at = np.arange(n)
+    onward = end < np.searchsorted(rows, rows, "right")
+    # what ends here and is also the shortest from its first line is there already
+    upto = (begin >= np.searchsorted(rows, rows, "left")) & (end[begin] != at)
+    first, last = np.concatenate([at[onward], begin[upto]]), np.concatenate([end[onward], at[upto]])
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    turn = np.cumprod(np.full(n, _POWER))
+    back = np.cumprod(np.full(n, _INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * turn, dtype=np.uint64)])
+    return first, last, bytescan.mix((sums[last + 1] - sums[first]) * back[first] + (last - first).astype(np.uint64))
+
+
+def _gram_table(docs: DataFrame, key: str, text: str, params: LineParams) -> DataFrame:
+    """One row per document: the words of its lines, and its grams with their first lines and how many more they have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytescan.buffers(batch.column(text))
             for a, b in bytescan.slices(offsets):
                 line, words, _, _, rows = lines_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at, grams = fingerprints(line, words, rows, params)
+                first, last, found = grams(line, words, rows, params.least_words)
                 cut = np.searchsorted(rows, np.arange(b - a + 1))
-                mark = np.searchsorted(at, cut)
-                local = at - cut[rows[at]] if len(at) else at
+                mark = np.searchsorted(first, cut)
+                place = first - cut[rows[first]] if len(first) else first
                 lists = lambda values, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), lists(line.view(np.int64), cut), lists(words.astype(np.int32), cut), lists(grams.view(np.int64), mark), lists(local.astype(np.int32), mark)], ["doc", "line", "words", "gram", "place"])
-
-    return docs.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(run, "doc long, line array<long>, words array<int>, gram array<long>, place array<int>")
-
-
-def _runs(mine: np.ndarray, other: np.ndarray, words: np.ndarray, hits: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
-    """Maximal repeated runs (first, last line) of `mine` from matches (place here, place there)."""
-    out, reach = [], {}
-    total = np.concatenate([[0], np.cumsum(words)])
-    for p, q in sorted(hits):
-        if p <= reach.get(p - q, -1) or mine[p] != other[q]:
-            continue
-        back = min(p, q)
-        differs = np.flatnonzero(mine[p - back : p][::-1] != other[q - back : q][::-1])
-        lo = p - (int(differs[0]) if len(differs) else back)
-        ahead = min(len(mine) - p, len(other) - q)
-        differs = np.flatnonzero(mine[p : p + ahead] != other[q : q + ahead])
-        hi = p + (int(differs[0]) if len(differs) else ahead) - 1
-        reach[p - q] = hi
-        if total[hi + 1] - total[lo] >= least:
-            out.append((lo, hi))
-    return out
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), lists(words.astype(np.int32), cut), lists(found.view(np.int64), mark), lists(place.astype(np.int32), mark), lists((last - first).astype(np.int32), mark)], ["doc", "words", "gram", "place", "more"])
+
+    return docs.select(key, text).filter(F.col(key).isNotNull()).mapInArrow(run, "doc long, words array<int>, gram array<long>, place array<int>, more array<int>")
+
+
+def _covered(place: np.ndarray, more: np.ndarray) -> list[dict[str, int]]:
+    """The lines of all grams as runs (first, last); overlapping and touching ones become one."""
+    last = place + more
+    steps = np.bincount(place, minlength=last.max() + 2) - np.bincount(last + 1, minlength=last.max() + 2)
+    edges = np.flatnonzero(np.diff(np.cumsum(steps) > 0, prepend=False))
+    return [{"first": int(a), "last": int(b) - 1} for a, b in edges.reshape(-1, 2)]
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", params: LineParams = LineParams()) -> DataFrame:
     """doc, n_lines, n_words and, for each document, runs: array of (first, last) lines to delete, disjoint and in order; null without any."""
     spark = docs.sparkSession
-    prints = written(_fingerprint_table(docs, key, text, params), "lines")
-    marks = prints.select("doc", F.explode(F.arrays_zip("gram", "place")).alias("m")).select(F.col("m.gram").alias("gram"), "doc", F.col("m.place").alias("place"))
+    prints = written(_gram_table(docs, key, text, params), "lines")
+    marks = prints.select("doc", F.explode(F.arrays_zip("gram", "place", "more")).alias("m")).select(F.col("m.gram").alias("gram"), "doc", F.col("m.place").alias("place"), F.col("m.more").alias("more"))
     first = marks.groupBy("gram").agg(F.min(F.struct("doc", "place")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "f")
     # written, so that the join below is of two plain sides and Spark can split a gram that very many documents have
     first = written(first, "first")
-    later = marks.join(first, "gram").filter(F.struct("doc", "place") > F.col("f")).select("doc", F.col("f.doc").alias("source"), "place", F.col("f.place").alias("there"))
-    pairs = written(later.groupBy("doc", "source").agg(F.collect_set(F.struct("place", "there")).alias("hits")), "hits")
-    release(spark)
-    mine = prints.select("doc", "line", "words").dropDuplicates(["doc"])
-    theirs = prints.select(F.col("doc").alias("source"), F.col("line").alias("other")).dropDuplicates(["source"])
+    later = marks.join(first, "gram").filter(F.struct("doc", "place") > F.col("f")).select("doc", "place", "more")
+    hits = later.groupBy("doc").agg(F.collect_list("place").alias("place"), F.collect_list("more").alias("more"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         for batch in batches:
-            rows, runs = [], []
-            for i in range(batch.num_rows):
-                line, words, other = (np.asarray(batch.column(c)[i].values) for c in ("line", "words", "other"))
-                hits = [(h["place"], h["there"]) for h in batch.column("hits")[i].as_py()]
-                if found := _runs(line, other, words, hits, params.least_words):
-                    rows.append(i)
-                    runs.append([{"first": a, "last": b} for a, b in found])
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc").take(pa.array(rows, pa.int64())), pa.array(runs, kind)], ["doc", "found"])
-
-    found = pairs.join(mine, "doc").join(theirs, "source").select("doc", "source", "hits", "line", "words", "other").mapInArrow(run, "doc long, found array<struct<first:int,last:int>>")
-    by_doc = found.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("all"))
-    # overlapping and touching runs become one
-    merged = F.aggregate("all", F.array().cast("array<struct<first:int,last:int>>"), lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["last"] >= r["first"] - 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], r["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(r))))
-    runs = written(by_doc.select("doc", merged.alias("runs")), "runs")
+            place, more = batch.column("place"), batch.column("more")
+            runs = [_covered(np.asarray(place[i].values), np.asarray(more[i].values)) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(runs, kind)], ["doc", "runs"])
+
+    runs = written(hits.mapInArrow(run, "doc long, runs array<struct<first:int,last:int>>"), "runs")
+    release(spark)
     return prints.select("doc", "words").join(runs, "doc", "left").select("doc", F.size("words").cast("long").alias("n_lines"), F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a + w).alias("n_words"), "words", "runs")
 
 

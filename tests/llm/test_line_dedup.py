@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
 
@@ -55,3 +58,45 @@ def test_every_shared_run_shares_a_fingerprint():
             line, n, _, _, rows = lines_of(data, offsets)
             prints.append(set(fingerprints(line, n, rows, params)[1].tolist()))
         assert prints[0] & prints[1]
+
+
+def brute_lines(docs, least=LineParams().least_words):
+    """The lines of each document that lie in a run of enough words which an earlier place holds: every pair of places is tried."""
+    lines = {i: [" ".join(x.lower().split()) for x in re.split(r"\n|(?<=[.!?])\s", t) if x.split()] for i, t in docs}
+    gone = {i: set() for i in lines}
+    for i, mine in lines.items():
+        for j, other in lines.items():
+            for p in range(len(mine)):
+                for q in range(len(other)):
+                    if (j, q) >= (i, p):
+                        continue
+                    k = words = 0
+                    while p + k < len(mine) and q + k < len(other) and mine[p + k] == other[q + k]:
+                        words += len(mine[p + k].split())
+                        k += 1
+                    if words >= least:
+                        gone[i].update(range(p, p + k))
+    return gone
+
+
+def removed(table):
+    return {r["doc"]: {i for x in r["runs"] or [] for i in range(x["first"], x["last"] + 1)} for r in repeated_runs(table).collect()}
+
+
+def sentence(tag, n):
+    return " ".join(f"{tag}{i}" for i in range(n)) + ".\n"
+
+
+def test_a_copy_goes_whichever_earlier_text_holds_it(docs):
+    # the first text shares a sentence only, too short to count; the third is a copy of the second's passage
+    cases = [[(1, text("a", 3) + sentence("s", 30) + text("b", 3))] + [(i, text(f"c{i}", 2) + sentence("x", 15) + sentence("s", 30) + sentence("y", 15) + text(f"d{i}", 2)) for i in (2, 3)]]
+    rng = random.Random(4)
+    for _ in range(6):
+        pool = [sentence(f"p{i}q", rng.choice([1, 3, 9, 19, 30, 39, 41])) for i in range(9)]
+        cases.append([(i, "".join(rng.choice(pool) for _ in range(rng.randint(0, 12)))) for i in range(12)])
+    rows = [(100 * k + i, "".join(f"k{k}{x}\n" if x else "" for x in t.split("\n"))) for k, case in enumerate(cases) for i, t in case]
+    out = removed(docs(rows))
+    for k in range(len(cases)):
+        own = [(i, t) for i, t in rows if i // 100 == k]
+        assert {i: out[i] for i, _ in own} == brute_lines(own)
+    assert out[2] == set() and len(out[3]) == 3
