@@ -100,3 +100,18 @@ def test_a_copy_goes_whichever_earlier_text_holds_it(docs):
         own = [(i, t) for i, t in rows if i // 100 == k]
         assert {i: out[i] for i, _ in own} == brute_lines(own)
     assert out[2] == set() and len(out[3]) == 3
+
+
+def test_whole_lines_of_the_least_length_go_from_passages_cut_in_mid_sentence(docs):
+    # 14 words of a first sentence, whole lines of 40 to 49 words, 8 words of a last one: texts share them verbatim
+    rows, want = [], {}
+    for k in range(60):
+        whole = [10, 10, 10, 10 + k % 10]
+        passage = " ".join(f"k{k}a{i}" for i in range(14)) + ".\n" + "".join(sentence(f"k{k}w{i}x", n) for i, n in enumerate(whole)) + " ".join(f"k{k}z{i}" for i in range(8))
+        for i in (0, 1):
+            rows.append((2 * k + i, text(f"k{k}b{i}", 2) + f"own{k}x{i} words " + passage + f" other{k}x{i} words.\n" + text(f"k{k}c{i}", 2)))
+        want |= {2 * k: set(), 2 * k + 1: set(range(3, 7))}
+    assert removed(docs(rows)) == want
+    # one word fewer stays
+    short = [(i, text(f"e{i}", 2) + sentence("f", 20) + sentence("g", 19) + text(f"h{i}", 2)) for i in (1, 2)]
+    assert removed(docs(short)) == {1: set(), 2: set()}
