@@ -1,8 +1,8 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source. DataFrame functions only.
 
 Minimum-covariance-determinant estimates come from concentration steps: from medians and absolute deviations, the
-share of rows nearest to a group's estimate gives its next mean and covariance. Groups without enough rows or spread
-are judged by their language's estimate, else by that of all rows. A row is kept if its base rules hold and its squared
+share of rows nearest to a group's estimate gives its next mean and covariance. Groups without enough rows are judged
+by the estimate of their whole language, else by that of all rows that pass the base; floors stand in for spread. A row is kept if its base rules hold and its squared
 Mahalanobis distance stays under the cutoff. Null languages and sources form groups of their own; null and empty
 texts have zero counts and fail the base.
 """
@@ -128,6 +128,31 @@ def robust_distances(rows: DataFrame, by: list[str], d: int, floors: list[float]
     return measured(estimates)
 
 
+def _levels(rows: DataFrame, groups: list[str], params: OutlierParams) -> DataFrame:
+    """rows under each level whose estimate they take part in, __own where it judges them.
+
+    Level k groups by the first k columns: a row's own is the largest k with enough rows, else 0, that is all of them.
+    All rows of a group of level k come in where it judges some of them.
+    """
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
+    for k in range(len(groups) - 1, 0, -1):
+        sizes = sizes.join(sizes.groupBy(*groups[:k]).agg(F.sum("__n").alias(f"__n{k}")), groups[:k])
+    own = F.when(F.col("__n") >= params.least, len(groups))
+    for k in range(len(groups) - 1, 0, -1):
+        own = own.when(F.col(f"__n{k}") >= params.least, k)
+    levels = written(sizes.select(*groups, own.otherwise(0).alias("__own_level")), "levels")
+    sent = F.broadcast if levels.limit(params.most_sent + 1).count() <= params.most_sent else (lambda df: df)
+    placed = rows.join(sent(levels), groups)
+    out = placed.filter(F.col("__own_level") == len(groups)).withColumn("__level", F.lit(len(groups)))
+    for k in range(len(groups) - 1, -1, -1):
+        wanted = levels.filter(F.col("__own_level") == k)
+        if wanted.isEmpty():
+            continue
+        part = placed.join(sent(wanted.select(*groups[:k]).distinct()), groups[:k], "left_semi") if k else placed
+        out = out.unionByName(part.withColumn("__level", F.lit(k)).withColumns({g: F.lit("") for g in groups[k:]}))
+    return out.withColumn("__own", F.col("__level") == F.col("__own_level")).drop("__own_level")
+
+
 def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), params: OutlierParams = OutlierParams()) -> DataFrame:
     """key, the base counts, base_failed, distance2 and kept of every row."""
     counts = docs.select(F.col(key).alias(key), *(F.coalesce(F.col(c).cast("string"), F.lit("\x00null")).alias(f"g{i}") for i, c in enumerate(by)), *(c.alias(n) for n, c in base_counts(F.col(text)).items()))
@@ -136,15 +161,9 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by:
     stats = transformed()
     floors = [0.05, 0.01, 0.02, 0.02, 0.002]
     rows = counts.withColumns({f"x{i}": s.cast("double") for i, s in enumerate(stats)})
-    # too small groups are judged together, first by language, then all in one
     groups = [f"g{i}" for i in range(len(by))]
-    passing = rows.filter(~F.col("base_failed"))
-    for k in range(len(groups), 0, -1):
-        sizes = passing.groupBy(*groups[:k]).agg(F.count(F.lit(1)).alias("__n"))
-        small = written(sizes.filter(F.col("__n") < params.least).select(*groups[:k], F.lit(True).alias("__small")), "small")
-        merged = passing.join(F.broadcast(small) if small.count() <= params.most_sent else small, groups[:k], "left")
-        passing = merged.withColumn(groups[k - 1], F.when(F.col("__small"), F.lit("\x00rest")).otherwise(F.col(groups[k - 1]))).drop("__small")
-    judged = robust_distances(passing.select(key, *groups, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{i}" for i in range(len(stats)))), groups, len(stats), floors, params)
+    passing = rows.filter(~F.col("base_failed")).select(key, *groups, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{i}" for i in range(len(stats))))
+    judged = robust_distances(_levels(passing, groups, params), ["__level", *groups], len(stats), floors, params).filter("__own")
     final = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = judged.select(key, *final, "distance2", (F.col("distance2") <= params.cutoff).alias("kept"))
     bad = rows.filter("base_failed").select(key, *final, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))

@@ -52,6 +52,25 @@ def test_small_groups_are_pooled(spark, docs):
     assert len(out) == 150 and np.mean([r["kept"] for r in out]) > 0.97
 
 
+def test_few_rows_are_judged_with_their_language_else_with_all(spark, docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    clean = lambda: " ".join(word() for _ in range(rng.randint(60, 300)))
+    junk = lambda: " ".join(word() * 12 + "###" for _ in range(120))
+    rows = [(i, clean()) for i in range(240)] + [(1000, junk()), (1001, clean()), (2000, junk()), (2001, clean()), (3000, junk()), (3001, clean())]
+    # a rare source and a null one beside large sources, and a rare language
+    source = F.when(F.col("doc_id") < 1000, F.concat(F.lit("s"), F.col("doc_id") % 2)).when(F.col("doc_id") < 2000, "rare").when(F.col("doc_id") >= 3000, "s0")
+    table = docs(rows).withColumn("source", source).withColumn("lang", F.when(F.col("doc_id") < 3000, "en").otherwise("xx"))
+    out = judge_quality(table).collect()
+    kept = {r["doc_id"]: r["kept"] for r in out}
+    assert len(out) == len(rows) and not any(r["base_failed"] for r in out)
+    assert [kept[i] for i in (1000, 2000, 3000)] == [False] * 3
+    assert [kept[i] for i in (1001, 2001, 3001)] == [True] * 3
+    assert sum(kept[i] for i in range(240)) >= 238
+
+
 def test_licenses(docs):
     def dice(a, b):
         a, b = set(bigrams(a)), set(bigrams(b))
