@@ -90,7 +90,7 @@ def unit_matches(text: Column, params: LicenseParams = LicenseParams()) -> Colum
 
     def scan(unit: Column) -> Column:
         words = F.filter(F.split(unit, "[ \n]+"), lambda w: w != "")
-        pairs = F.transform(F.array(words), lambda w: F.when(F.size(w).between(max(2, low + 1), 4 * high), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))))
+        pairs = F.transform(F.array(words), lambda w: F.when(F.size(w) >= max(2, low + 1), F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))))
         return F.transform(pairs, lambda b: F.when(F.size(b).between(low, high) & F.arrays_overlap(b, vocabulary), against(b)))[0]
 
     normal = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\n]+", " ")

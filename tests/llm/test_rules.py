@@ -86,3 +86,12 @@ def test_licenses(docs):
     assert (out[6]["license"] == "MIT") == (dice(rows[5][1], mit) >= 0.8)
     assert out[7]["license"] == "Proprietary"
     assert scan_licenses(docs([])).count() == 0
+
+
+def test_license_units_may_repeat_their_text(docs):
+    rows = [(1, " ".join([TEMPLATES[4][1]] * 6)), (2, "Released under the MIT License. " * 500), (3, "Released under the MIT License and other words " * 500), (4, "intro\n" + " ".join([TEMPLATES[4][1]] * 40) + "\nend")]
+    out = {r["doc_id"]: r for r in scan_licenses(docs(rows)).collect()}
+    assert [out[i]["license"] for i in (1, 2, 3, 4)] == ["MIT", "MIT", None, "MIT"]
+    for i in (1, 2):
+        own, found = set(bigrams(TEMPLATES[4 if i == 1 else 2][1])), set(bigrams(rows[i - 1][1]))
+        assert out[i]["dice"] == round(2 * len(own & found) / (len(own) + len(found)), 6)
