@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import share_path
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
+if not hasattr(_LIBC, "malloc_trim"):
+    _LIBC = None
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_path(spark)
@@ -19,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A session of one machine may do without and gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldglass-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -37,11 +46,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files behind a frame from written() that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def drop_written(*frames: DataFrame | None) -> None:
+    """Delete the files behind frames from written() that nothing will read again."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def trim() -> None:
+    """Give a Python worker's free memory back to the machine: idle workers stay, and an executor holds several."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def release(spark: SparkSession) -> None:

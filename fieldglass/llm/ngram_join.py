@@ -302,7 +302,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     able = written(_able_classes(_shared_by_class(packed, buckets, width), buckets, width, params), "able")
     release(spark)
     classes = written(able.join(named, ["s1", "s2"]).filter("id is not null").select("id", "n", "tokens"), "named")
-    drop_written(spark, able)
+    drop_written(able)
     release(spark)
     labels = _components(classes, width, params)
     ids = named if labels is None else named.join(labels, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("id"))
