@@ -6,10 +6,15 @@
 3. Dealt back by class, a class is dropped unless its shared shingles alone can reach the threshold; the rest keep
    their sorted lists, and their rare-first prefixes become an inverted table.
 4. Classes that meet under a prefix shingle are compared in rounds, each with one hub, and only across components found
-   so far: a group of k near copies costs about k comparisons, not k * k. What still lies across components after the
-   rounds is compared pair by pair, so no link between components is missed. Each pair is verified once.
-
-Rows with a null or word-free text have no shingles and link with nothing. Rows that share an id are one document.
+   so far: a group of k near copies costs about k comparisons a round. Rounds go on, with other hubs and without the
+   shingles whose classes are one component by now, while they find links for a good part of what they compare.
+5. What then still lies across components meets under its prefix shingles once more. A pair only comes up there if
+   neither sizes, nor places, nor sketches rule it out: a sketch holds the parity of each of its cells' shingles, so two
+   differ in no more cells than the sets do in shingles. No link between components is missed, no pair is verified
+   twice, and what comes up is about what links.
+
+Rows with a null or word-free text have no shingles and link with nothing. Rows that share an id are one document; null
+ids stay apart. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -30,18 +35,21 @@ from .components import connected_components
 
 @dataclass(frozen=True)
 class JoinParams:
-    """words per shingle; two sets link if 100 * intersection >= percent * union. bucket: shingles that one task orders."""
+    """words per shingle; two sets link if 100 * intersection >= percent * union. bucket: shingles that one task orders;
+    worth: percent of a round's comparisons that must link for another round."""
 
     words: int = 5
     percent: int = 80
-    rounds: int = 2
     bucket: int = 8_000_000
+    worth: int = 10
 
 
 #: Bytes of text whose shingles are packed together.
 PACK_BYTES = 4_000_000
 #: Bits of a shingle's rank within its bucket.
 RANK_BITS = 26
+#: 64-bit words of a sketch.
+SKETCH = 16
 
 
 def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +161,8 @@ def _shared_by_class(packed: DataFrame, buckets: int, width: int) -> DataFrame:
             h, cls = h[once], cls[once]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             df = np.diff(np.concatenate([starts, [len(h)]]))
+            if len(df) >> RANK_BITS:
+                raise ValueError("more distinct shingles in a bucket than ranks: raise spark.sql.shuffle.partitions or lower JoinParams.bucket")
             number = np.floor(np.log2(df)).astype(np.uint64) << np.uint64(RANK_BITS + bits) | np.uint64(k << RANK_BITS) | np.arange(len(df), dtype=np.uint64)
             shared = np.repeat(df >= 2, df)
             tokens, cls = np.repeat(number, df)[shared], cls[shared]
@@ -224,6 +234,20 @@ def _prefixes(classes: DataFrame, width: int, params: JoinParams) -> DataFrame:
     return classes.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n int, c int, j int")
 
 
+def _sketches(classes: DataFrame, width: int) -> DataFrame:
+    """id and b0.., the parities of the class's shared shingles by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [_wide(np.frombuffer(raw.as_buffer(), np.uint8), width) for raw in batch.column("tokens")]
+            cell = [bytescan.mix(t.astype(np.uint64)) % np.uint64(64 * SKETCH) for t in tokens]
+            bits = np.stack([np.bincount(c.astype(np.int64), minlength=64 * SKETCH) & 1 for c in cell]) if cell else np.zeros((0, 64 * SKETCH), np.int64)
+            words = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH))], ["id", *(f"b{i}" for i in range(SKETCH))])
+
+    return classes.select("id", "tokens").mapInArrow(run, "id long, " + ", ".join(f"b{i} long" for i in range(SKETCH)))
+
+
 def _can_link(x: str, y: str, params: JoinParams) -> Column:
     """Length and positional filters for two classes that meet under a token."""
     f = lambda side, name: F.col(f"{side}.{name}").cast("long")
@@ -232,6 +256,13 @@ def _can_link(x: str, y: str, params: JoinParams) -> Column:
     return length & ((100 + params.percent) * most >= params.percent * (f(x, "n") + f(y, "n")))
 
 
+def _alike(x: str, y: str, params: JoinParams) -> Column:
+    """Whether sketches allow a link: sets that differ in k cells share at most (c + c - k) / 2 shingles."""
+    f = lambda side, name: F.col(f"{side}.{name}").cast("long")
+    differ = sum((F.bit_count(f(x, f"b{i}").bitwiseXOR(f(y, f"b{i}"))) for i in range(SKETCH)), F.lit(0))
+    return (100 + params.percent) * (f(x, "c") + f(y, "c") - differ) >= 2 * params.percent * (f(x, "n") + f(y, "n"))
+
+
 def _links(pairs: DataFrame, classes: DataFrame, width: int, params: JoinParams) -> DataFrame:
     """The pairs (a, b) whose shared shingles reach the threshold, by exact intersection after a suffix filter."""
 
@@ -255,38 +286,67 @@ def _links(pairs: DataFrame, classes: DataFrame, width: int, params: JoinParams)
     return one.join(lists.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def _relabelled(open_: DataFrame, moved: DataFrame) -> DataFrame:
+    """open_ with its components replaced by what they are part of, without the tokens whose classes are one component."""
+    now = open_.join(moved.select(F.col("id").alias("comp"), "component"), "comp", "left").select("token", "id", "n", "c", "j", F.coalesce("component", "comp").alias("comp"))
+    across = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
+    return now.join(across, "token")
+
+
 def _components(classes: DataFrame, width: int, params: JoinParams) -> DataFrame | None:
     """id and component of classes that link with another."""
     spark = classes.sparkSession
-    tokens = written(_prefixes(classes, width, params), "prefixes")
-    labels, links, tested = None, None, None
-    for r in range(params.rounds + 1):
-        own = tokens if labels is None else tokens.join(labels, "id", "left")
-        own = own.withColumn("comp", F.col("id") if labels is None else F.coalesce("component", "id")).select("token", "id", "n", "c", "j", "comp")
-        order = F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))
-        hub = F.min(F.struct(order.alias("o"), "id", "n", "c", "j", "comp"))
-        blocks = own.groupBy("token").agg(hub.alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-        if r < params.rounds:
-            met = own.alias("x").join(blocks.select("token", "hub.*").alias("y"), "token").filter(F.col("x.comp") != F.col("y.comp")).filter(_can_link("x", "y", params))
-            pairs = met.groupBy(F.col("x.id").alias("x")).agg(F.min("y.id").alias("y"))
-        else:
-            open_ = written(own.join(blocks.select("token"), "token"), "open")
-            met = open_.alias("x").join(open_.alias("y"), "token").filter((F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))).filter(_can_link("x", "y", params))
-            pairs = met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
+    open_ = written(_prefixes(classes, width, params).withColumn("comp", F.col("id")), "prefixes")
+    labels = tested = None
+
+    def compare(pairs: DataFrame) -> tuple[int, int]:
+        """Verifies new pairs, merges what links; how many were compared and how many linked."""
+        nonlocal open_, labels, tested
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            continue
+        n = pairs.count()
+        if not n:
+            return 0, 0
         tested = pairs if tested is None else tested.union(pairs)
-        found = written(_links(pairs, classes, width, params), "links")
-        release(spark)
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = written(connected_components(links), "labels")
+        links = written(_links(pairs, classes, width, params), "links")
         release(spark)
+        found = links.count()
+        if found:
+            # between components, so that what is one already does not take part
+            of = lambda side: F.col(side) if labels is None else F.coalesce(f"{side}_of", side)
+            between = links
+            for side in ("a", "b") if labels is not None else ():
+                between = between.join(labels.select(F.col("id").alias(side), F.col("component").alias(f"{side}_of")), side, "left")
+            moved = written(connected_components(between.select(of("a").alias("a"), of("b").alias("b"))), "moved")
+            before, was = labels, open_
+            if before is None:
+                labels = moved
+            else:
+                known = before.join(moved.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+                labels = written(known.union(moved.join(before.select("id"), "id", "left_anti").select("id", "component")), "labels")
+            open_ = written(_relabelled(was, moved), "open")
+            drop_written(was, before, links)
+            release(spark)
+        return n, found
+
+    r = 0
+    while True:
+        order = F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))
+        hubs = open_.groupBy("token").agg(F.min(F.struct(order.alias("o"), "id", "n", "c", "j", "comp")).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+        met = open_.alias("x").join(hubs.select("token", "hub.*").alias("y"), "token").filter(F.col("x.comp") != F.col("y.comp")).filter(_can_link("x", "y", params))
+        n, found = compare(met.groupBy(F.col("x.id").alias("x")).agg(F.min("y.id").alias("y")))
+        if 100 * found <= params.worth * n:
+            break
+        r += 1
+    if not open_.isEmpty():
+        # written, so that the join is of two plain sides and Spark can split a token that very many classes have
+        drawn = written(open_.join(_sketches(classes, width), "id"), "drawn")
+        met = drawn.alias("x").join(drawn.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & _can_link("x", "y", params) & _alike("x", "y", params))
+        compare(met.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")))
+        drop_written(drawn)
+    drop_written(open_, tested)
     return labels
 
 

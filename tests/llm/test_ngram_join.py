@@ -64,6 +64,21 @@ def test_hot_copies_and_a_chain_of_near_copies(docs):
     assert found(jaccard_components(docs(rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("edits", [9, 14])
+def test_many_variants_of_one_text(docs, edits):
+    # pairs lie about the threshold: links are few or many, and no hub has them all
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for i in rng.sample(range(150), rng.randint(0, edits) // 4):
+            copy[i] = f"v{rng.randrange(40)}"
+        lo = rng.randint(0, edits)
+        rows.append((k, " ".join(copy[lo : 150 - rng.randint(0, edits)])))
+    assert found(jaccard_components(docs(rows))) == brute(rows)
+
+
 @pytest.mark.parametrize("rows", [[], [(5, None)], [(1, "a b c d e f"), (1, "a b c d e f")]])
 def test_edges(docs, rows):
     out = jaccard_components(docs(rows, extra=True)).collect()
