@@ -1,20 +1,30 @@
 """Quality rules: base counts, then robust multivariate outliers per language and source. DataFrame functions only.
 
-Minimum-covariance-determinant estimates come from concentration steps: from medians and absolute deviations, the
-share of rows nearest to a group's estimate gives its next mean and covariance. Groups without enough rows are judged
-by the estimate of their whole language, else by that of all rows that pass the base; floors stand in for spread. A row is kept if its base rules hold and its squared
-Mahalanobis distance stays under the cutoff. Null languages and sources form groups of their own; null and empty
-texts have zero counts and fail the base.
+Minimum covariance determinant: each group starts from three estimates (medians with quartile ranges; means and
+covariances of all rows; medians with the covariance of the rows' directions from them). Concentration steps give each
+start the mean and covariance of the `share` of rows nearest to it, until its determinant no longer falls; the least
+determinant of the three is the group's estimate. A consistency factor makes distances those of a normal law, so that
+squared ones follow the chi-square law, and a row is kept if its base rules hold and its squared distance stays under
+the quantile that leaves out `level`. All rows of a group take part in every step; only a few numbers of each group are
+joined back. A step's limit is an approximate quantile: exact up to 10,000 rows of a group, within 1 / 10,000 beyond.
+
+Groups without enough rows are judged by the estimate of their whole language, else by that of all rows that pass the
+base, however few; floors stand in for missing spread. Null languages and sources form groups of their own. Null and
+empty texts have zero counts and fail the base. Repeated rows count, and are judged, as often as they occur; rows of
+equal statistics get equal verdicts.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from ..functions.stats import chi_square_tail
+from .common import drop_written, table, written
 
 #: White space, and the symbols that count.
 SPACES = " \t\n\x0b\x0c\r"
@@ -23,12 +33,14 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class OutlierParams:
-    """share: of a group's rows in an estimate; cutoff: on squared distances of five statistics; least: rows that a group needs; most_sent: groups whose estimates (some 25 numbers each) may be broadcast."""
+    """share: of a group's rows in an estimate; level: share of rows of a normal law that would go; least: rows that a group
+    needs; ridge: added to variances, relatively; fall: of a determinant, relatively, that counts as one; most_sent: groups
+    whose estimates (some 25 numbers each) may be broadcast."""
 
     share: float = 0.75
-    steps: int = 3
-    cutoff: float = 60.0
+    level: float = 1e-9
     least: int = 100
+    fall: float = 1e-3
     ridge: float = 1e-3
     most_sent: int = 20_000
 
@@ -102,30 +114,73 @@ def _distance(d: int) -> list[tuple[str, Column]]:
     return steps
 
 
-def robust_distances(rows: DataFrame, by: list[str], d: int, floors: list[float], params: OutlierParams = OutlierParams()) -> DataFrame:
-    """rows (with x0.. and no nulls in by) with distance2, after concentration steps within each group."""
-    names = [f"x{i}" for i in range(d)]
-    centre = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{x}") for x in names))
-    start = centre.select(*by, "n", *(F.col(f"q_x{i}")[1].alias(f"m{i}") for i in range(d)), *((F.pow((F.col(f"q_x{i}")[2] - F.col(f"q_x{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _pairs(d)))
+def chi_square_quantile(p_above: float, df: int) -> float:
+    """The value that the chi-square law exceeds with probability p_above."""
+    lo, hi = 0.0, 1.0
+    while chi_square_tail(hi, df) > p_above:
+        hi *= 2
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi_square_tail(mid, df) > p_above else (lo, mid)
+    return hi
+
+
+def consistency(share: float, d: int) -> float:
+    """What the covariance of the nearest `share` of rows of a normal law lacks."""
+    return share / (1 - chi_square_tail(chi_square_quantile(1 - share, d), d + 2))
+
+
+def _starts(rows: DataFrame, by: list[str], d: int, floors: list[float], sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Three estimates (m0.., c00..) for each group, numbered by __start."""
+    quartiles = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(f"q{i}") for i in range(d)]
+    centre = rows.groupBy(*by).agg(*quartiles).select(*by, *(F.col(f"q{i}")[1].alias(f"m{i}") for i in range(d)), *(F.greatest(F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2), F.lit(floors[i])).alias(f"v{i}") for i in range(d)))
+    centre = written(centre, "centre")
+    names = [*by, "__start", *(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i, j in _pairs(d))]
+    plain = centre.withColumn("__start", F.lit(0)).withColumns({f"c{i}{j}": F.col(f"v{i}") if i == j else F.lit(0.0) for i, j in _pairs(d)})
+    whole = _moments(rows, by, d).withColumn("__start", F.lit(1))
+    away = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(f"v{i}") for i in range(d)]
+    length = F.greatest(sum((a * a for a in away), F.lit(0.0)), F.lit(1e-12))
+    signs = rows.join(sent(centre), by).select(*by, *(a.alias(f"u{i}") for i, a in enumerate(away)), length.alias("r"))
+    shares = signs.groupBy(*by).agg(*(F.avg(F.col(f"u{i}") * F.col(f"u{j}") / F.col("r")).alias(f"s{i}{j}") for i, j in _pairs(d)))
+    turned = shares.join(centre, by).withColumn("__start", F.lit(2)).withColumns({f"c{i}{j}": d * F.col(f"s{i}{j}") * F.sqrt(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in _pairs(d)})
+    return plain.select(names).unionByName(whole.select(names)).unionByName(turned.select(names))
 
+
+def robust_distances(rows: DataFrame, by: list[str], d: int, floors: list[float], params: OutlierParams = OutlierParams()) -> DataFrame:
+    """rows (with x0.. and no nulls in by) with distance2, squared and consistent, from the estimate of least determinant of their group."""
     # few enough groups go to every task, so that a hot group's rows need not meet in one; beyond that Spark joins by shuffle and splits what is skewed
     groups = rows.select(*by).distinct().limit(params.most_sent + 1).count()
     sent = F.broadcast if groups <= params.most_sent else (lambda df: df)
+    spread = [*(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in _pairs(d))]
+    keys = [*by, "__start"]
+
+    def factored(estimates: DataFrame) -> DataFrame:
+        """Estimates with the factor of their covariance, and the logarithm of its determinant."""
+        return _factored(estimates, d, floors, params.ridge).withColumn("__det", sum((2 * F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))).select(*keys, *spread, "__det")
 
     def measured(estimates: DataFrame) -> DataFrame:
-        wanted = _factored(estimates, d, floors, params.ridge).select(*by, "n", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in _pairs(d)))
-        out = rows.join(sent(wanted), by)
+        out = rows.join(sent(estimates), by)
         for name, step in _distance(d):
             out = out.withColumn(name, step)
-        return out.withColumn("distance2", sum((F.pow(f"y{i}", 2) for i in range(d)), F.lit(0.0))).select(*rows.columns, "n", "distance2")
-
-    estimates = start
-    for _ in range(params.steps):
-        near = measured(estimates)
-        limit = near.groupBy(*by).agg(F.percentile_approx("distance2", F.lit(params.share), 2000).alias("__limit"))
-        inner = near.join(sent(limit), by).filter(F.col("distance2") <= F.col("__limit"))
-        estimates = written(_moments(inner, by, d).drop("n").join(centre.select(*by, "n"), by), "mcd")
-    return measured(estimates)
+        return out.withColumn("distance2", sum((F.pow(f"y{i}", 2) for i in range(d)), F.lit(0.0)))
+
+    now = written(factored(_starts(rows, by, d, floors, sent)).withColumns({"__det": F.lit(float("inf")), "__moves": F.lit(True)}), "mcd")
+    while True:
+        moving = now.filter("__moves")
+        near = measured(moving.select(*keys, *spread)).select(*keys, *(f"x{i}" for i in range(d)), "distance2")
+        limit = near.groupBy(*keys).agg(F.percentile_approx("distance2", F.lit(params.share), 10_000).alias("__limit"))
+        inner = near.join(sent(limit), keys).filter(F.col("distance2") <= F.col("__limit"))
+        better = factored(_moments(inner, keys, d)).withColumnRenamed("__det", "__new")
+        # a fall below the tolerance ends a start; its better estimate of the two stays
+        step = moving.select(*keys, "__det").join(better, keys).withColumn("__moves", F.col("__new") < F.col("__det") + math.log1p(-params.fall))
+        lower = step.filter("__new < __det").select(*keys, *spread, F.col("__new").alias("__det"), "__moves")
+        before = now
+        now = written(lower.unionByName(before.join(lower.select(keys), keys, "left_anti").withColumn("__moves", F.lit(False))), "mcd")
+        drop_written(before)
+        if now.filter("__moves").isEmpty():
+            break
+    best = now.groupBy(*by).agg(F.min(F.struct("__det", "__start", *spread)).alias("e")).select(*by, *(F.col(f"e.{c}").alias(c) for c in spread))
+    return measured(best).withColumn("distance2", F.col("distance2") / consistency(params.share, d)).select(*rows.columns, "distance2")
 
 
 def _levels(rows: DataFrame, groups: list[str], params: OutlierParams) -> DataFrame:
@@ -165,7 +220,7 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by:
     passing = rows.filter(~F.col("base_failed")).select(key, *groups, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{i}" for i in range(len(stats))))
     judged = robust_distances(_levels(passing, groups, params), ["__level", *groups], len(stats), floors, params).filter("__own")
     final = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    good = judged.select(key, *final, "distance2", (F.col("distance2") <= params.cutoff).alias("kept"))
+    good = judged.select(key, *final, "distance2", (F.col("distance2") <= chi_square_quantile(params.level, len(stats))).alias("kept"))
     bad = rows.filter("base_failed").select(key, *final, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
     return good.unionByName(bad)
 

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from fieldglass.llm.licenses import TEMPLATES, bigrams, scan_licenses
-from fieldglass.llm.rules import OutlierParams, judge_quality
+from fieldglass.llm.rules import OutlierParams, chi_square_quantile, consistency, judge_quality, robust_distances
 
 
 def brute(text):
@@ -41,6 +41,70 @@ def test_outliers_go_and_clean_rows_stay(spark, docs):
     assert not any(kept[1000 + i] for i in range(20)) and not kept[2000]
 
 
+def determinants(x, share, floors, ridge, fall):
+    """Squared distances from the least determinant of three starts, one row at a time."""
+    d, n = x.shape[1], len(x)
+    rank = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+
+    def factor(c):
+        out = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i + 1):
+                total = c[i, j] * (1 + ridge) + floors[i] if i == j else c[i, j]
+                total -= out[i, :j] @ out[j, :j]
+                out[i, j] = np.sqrt(max(total, floors[i])) if i == j else total / out[j, j]
+        return out
+
+    def distances(m, f):
+        return (np.linalg.solve(f, (x - m).T) ** 2).sum(axis=0)
+
+    q = np.array([[rank(x[:, i], p) for p in (0.25, 0.5, 0.75)] for i in range(d)])
+    middle, var = q[:, 1], np.maximum(((q[:, 2] - q[:, 0]) / 1.349) ** 2, floors)
+    u = (x - middle) / np.sqrt(var)
+    u = u / np.sqrt(np.maximum((u**2).sum(axis=1, keepdims=True), 1e-12))
+    starts = [(middle, np.diag(var)), (x.mean(axis=0), np.cov(x.T, bias=True)), (middle, d * (u.T @ u / n) * np.sqrt(np.outer(var, var)))]
+    found = []
+    for m, c in starts:
+        f, det = factor(c), np.inf
+        while True:
+            far = distances(m, f)
+            inner = x[far <= rank(far, share)]
+            m2, f2 = inner.mean(axis=0), factor(np.cov(inner.T, bias=True))
+            det2 = 2 * np.log(np.diag(f2)).sum()
+            stop = not det2 < det + np.log1p(-fall)
+            if det2 < det:
+                m, f, det = m2, f2, det2
+            if stop:
+                break
+        found.append((det, m, f))
+    best = min(found, key=lambda e: e[0])
+    return distances(best[1], best[2])
+
+
+def test_distances_equal_those_of_least_determinants(spark):
+    rng = np.random.default_rng(9)
+    params, floors = OutlierParams(), [0.05, 0.01, 0.02]
+    turn = np.array([[1.0, 0, 0], [0.9, 0.4, 0], [-0.5, 0.2, 0.3]])
+    groups = {"a": rng.normal(size=(400, 3)) @ turn.T, "b": np.vstack([rng.normal(size=(200, 3)), rng.normal(8, 0.3, size=(60, 3))]), "c": np.zeros((30, 3)), "d": rng.normal(size=(1, 3))}
+    rows = [(g, k, *map(float, r)) for g, x in groups.items() for k, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "g string, k int, x0 double, x1 double, x2 double").repartition(3)
+    got = {(r["g"], r["k"]): r["distance2"] for r in robust_distances(df, ["g"], 3, floors, params).collect()}
+    assert len(got) == len(rows)
+    for g, x in groups.items():
+        if len(x) > 1:
+            want = determinants(x, params.share, floors, params.ridge, params.fall) / consistency(params.share, 3)
+            np.testing.assert_allclose([got[g, k] for k in range(len(x))], want, rtol=1e-6, atol=1e-9)
+    # what lies apart does not draw the estimate to itself
+    assert min(got["b", k] for k in range(200, 260)) > 100 > max(got["b", k] for k in range(200))
+
+
+def test_consistency_and_quantiles():
+    x = np.random.default_rng(2).normal(size=(200_000, 5))
+    near = x[np.argsort((x**2).sum(axis=1))[:150_000]]
+    assert abs(consistency(0.75, 5) * near.var() - 1) < 0.01
+    assert abs((x**2 @ np.ones(5) > chi_square_quantile(0.025, 5)).mean() - 0.025) < 0.002
+
+
 def test_small_groups_are_pooled(spark, docs):
     from pyspark.sql import functions as F
 
