@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -46,9 +47,10 @@ def effective(weight: Column) -> Column:
     return F.try_divide(F.pow(F.sum(weight), 2), F.sum(weight * weight))
 
 
-def recency(week: Column, reference: Column, half_life: float) -> Column:
-    """WIN-02: weight halves every half_life weeks; weeks after the reference weigh 1, unknown weeks 1."""
-    return F.coalesce(F.pow(F.lit(0.5), F.greatest(reference - week, F.lit(0)) / half_life), F.lit(1.0))
+def recency(week: Column, reference: Column, half_life: float, usual: Column | None = None) -> Column:
+    """WIN-02: weight halves every half_life weeks; weeks after the reference weigh 1. Unknown weeks count as the usual one (the median of the entity's), or weigh 1 without one."""
+    known = week if usual is None else F.coalesce(week, usual)
+    return F.coalesce(F.pow(F.lit(0.5), F.greatest(reference - known, F.lit(0)) / max(half_life, 1e-6)), F.lit(1.0))
 
 
 def benjamini_hochberg(p: Column, order: list[Column], by: list[str] = ()) -> Column:
@@ -59,28 +61,45 @@ def benjamini_hochberg(p: Column, order: list[Column], by: list[str] = ()) -> Co
     return F.least(F.lit(1.0), F.min(raw).over(base.orderBy(p.desc(), *(o.desc() for o in order)).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-_LOG_FACTORIAL = np.zeros(1)
-
-
-def log_factorials(n: int) -> np.ndarray:
-    """ln(0!) .. ln(n!), grown as asked and kept by each worker."""
-    global _LOG_FACTORIAL
-    if len(_LOG_FACTORIAL) <= n:
-        more = max(n, 2 * len(_LOG_FACTORIAL), 1024)
-        _LOG_FACTORIAL = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, more + 1)))])
-    return _LOG_FACTORIAL
+def _outward(log_mass: float, at: int, step: int, end: int, log_ratio: Callable[[np.ndarray], np.ndarray], size: int = 1024) -> float:
+    """The total of a unimodal law's terms from `at` on, away from its mode, until they vanish; log_ratio(i): of term i + 1 to term i."""
+    total, here, last = math.exp(log_mass), at, log_mass
+    floor = log_mass - 45.0
+    while here != end and last > floor:
+        n = min(size, abs(end - here))
+        i = here + step * np.arange(n, dtype=np.float64)
+        with np.errstate(divide="ignore"):
+            logs = last + np.cumsum(log_ratio(i) if step > 0 else -log_ratio(i - 1))
+        total += float(np.exp(logs).sum())
+        here, last, size = here + step * n, float(logs[-1]), size * 2
+    return total
+
+
+def _two_sided(k: int, lo: int, hi: int, mode: int, log_mass: Callable[[int], float], log_ratio: Callable[[np.ndarray], np.ndarray]) -> float:
+    """The total of all terms no likelier than k's: one walk outward from k, one from the first such term beyond the mode."""
+    own = log_mass(k)
+    step = -1 if k <= mode else 1
+    total = _outward(own, k, step, lo if step < 0 else hi, log_ratio)
+    end = hi if step < 0 else lo
+    near = max(mode, k + 1) if step < 0 else min(mode, k - 1)
+    if (end - near) * -step < 0 or log_mass(end) > own + 1e-7:
+        return min(1.0, total)
+    far = end
+    while near != far:
+        mid = near + ((far - near) // 2 if far > near else -((near - far) // 2))
+        near, far = (near, mid) if log_mass(mid) <= own + 1e-7 else (mid - step, far)
+    return min(1.0, total + _outward(log_mass(far), far, -step, end, log_ratio))
 
 
 def binomial_p_value(k: int, n: int, p: float) -> float:
-    """Two-sided exact binomial: the total of outcomes no likelier than k."""
+    """Two-sided exact binomial: the total of outcomes no likelier than k. No array grows with n beyond what does not vanish."""
     if n <= 0:
         return 1.0
     if p <= 0 or p >= 1:
         return 1.0 if k == n * (p >= 1) else 0.0
-    f = log_factorials(n)
-    i = np.arange(n + 1)
-    logs = f[n] - f[i] - f[n - i] + i * math.log(p) + (n - i) * math.log1p(-p)
-    return float(min(1.0, np.exp(logs[logs <= logs[k] + 1e-7]).sum()))
+    a, b, whole, odds = math.log(p), math.log1p(-p), math.lgamma(n + 1), math.log(p) - math.log1p(-p)
+    mass = lambda i: whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b
+    return _two_sided(k, 0, n, min(n, int((n + 1) * p)), mass, lambda i: np.log((n - i) / (i + 1)) + odds)
 
 
 def fisher_p_value(a: int, n: int, c: int, m: int) -> float:
@@ -88,10 +107,22 @@ def fisher_p_value(a: int, n: int, c: int, m: int) -> float:
     total, hits = n + m, a + c
     if n <= 0 or m <= 0:
         return 1.0
-    f = log_factorials(total)
-    i = np.arange(max(0, hits - m), min(n, hits) + 1)
-    logs = f[n] - f[i] - f[n - i] + f[m] - f[hits - i] - f[m - hits + i] - (f[total] - f[hits] - f[total - hits])
-    return float(min(1.0, np.exp(logs[logs <= logs[a - i[0]] + 1e-7]).sum()))
+    g = math.lgamma
+    whole = g(n + 1) + g(m + 1) - (g(total + 1) - g(hits + 1) - g(total - hits + 1))
+    mass = lambda i: whole - g(i + 1) - g(n - i + 1) - g(hits - i + 1) - g(m - hits + i + 1)
+    lo, hi = max(0, hits - m), min(n, hits)
+    mode = min(hi, max(lo, (n + 1) * (hits + 1) // (total + 2)))
+    return _two_sided(a, lo, hi, mode, mass, lambda i: np.log((n - i) * (hits - i) / ((i + 1) * (m - hits + i + 1))))
+
+
+def two_proportion_value(k: int, n: int, rate: float, baseline_n: int | None) -> float:
+    """k of n against a rate that comes from baseline_n trials: taken as known beyond 20 n of them, else as a sample of its own."""
+    if n <= 0:
+        return 1.0
+    rate = min(1 - 1e-9, max(1e-9, rate))
+    if baseline_n is None or baseline_n > 20 * n:
+        return binomial_p_value(k, n, rate)
+    return fisher_p_value(k, n, round(rate * baseline_n), baseline_n)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -105,6 +136,12 @@ def fisher_p(a: pd.Series, n: pd.Series, c: pd.Series, m: pd.Series) -> pd.Serie
     return pd.Series([None if any(v != v for v in r) else fisher_p_value(*map(int, r)) for r in zip(a, n, c, m, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def two_proportion_p(k: pd.Series, n: pd.Series, rate: pd.Series, baseline_n: pd.Series) -> pd.Series:
+    """FN-MATH-07: either test, whichever a cell needs."""
+    return pd.Series([None if any(v != v for v in r) else two_proportion_value(int(r[0]), int(r[1]), float(r[2]), int(r[3])) for r in zip(k, n, rate, baseline_n, strict=True)], dtype="float64")
+
+
 def chi_square_tail(x: float, df: int) -> float:
     """FN-MATH-17: P(chi-square of df > x), by the series or the continued fraction of the incomplete gamma function."""
     if x <= 0 or df <= 0:

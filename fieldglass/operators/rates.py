@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
+from ..functions.strings import percent
 
 
 def class_sums(outcome: str, classes: list[str], value: Column | None = None) -> list[Column]:
@@ -26,13 +27,14 @@ def unpivot_classes(df: DataFrame, keep: list[Column], outcome: str, classes: li
 def tendency(df: DataFrame, entity: str, outcome: str, by: list[str], classes: list[str], least: int = 8, floor: float = 0.05) -> DataFrame:
     """AGG-01: rate of each outcome by entity and situation, the peers' rate and the difference.
 
-    Peers are all other entities in the same situation: totals by situation minus the entity's own, so no self-join of
-    rows. A null situation keeps its rows but has no peers. Cells where neither rate reaches the floor go.
+    Peers are all other rows in the same situation, those of a null entity too: totals by situation minus the entity's
+    own, so no self-join of rows. A null situation keeps its rows but has no peers. Cells where neither rate reaches the
+    floor go.
     """
-    known = df.filter(F.col(outcome).isNotNull() & F.col(entity).isNotNull())
+    known = df.filter(F.col(outcome).isNotNull())
     own = known.groupBy(entity, *by).agg(F.count(F.lit(1)).alias("n"), *class_sums(outcome, classes))
     whole = Window.partitionBy(*by)
-    total = own.withColumns({"all_n": F.sum("n").over(whole), **{f"t{i}": F.sum(f"c{i}").over(whole) for i in range(len(classes))}}).filter(F.col("n") >= least)
+    total = own.withColumns({"all_n": F.sum("n").over(whole), **{f"t{i}": F.sum(f"c{i}").over(whole) for i in range(len(classes))}}).filter((F.col("n") >= least) & F.col(entity).isNotNull())
     known_by = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in by), F.lit(True))
     cells = unpivot_classes(total, [F.col(entity), *map(F.col, by), F.col("n"), F.col("all_n")], outcome, classes, own="c", total="t")
     rate = F.col("own") / F.col("n")
@@ -41,10 +43,13 @@ def tendency(df: DataFrame, entity: str, outcome: str, by: list[str], classes: l
     return out.filter((F.col("rate") >= floor) | (F.coalesce(F.col("league_rate"), F.lit(0.0)) >= floor))
 
 
-def outcome_mix(df: DataFrame, entity: str, outcome: str, classes: list[str], weight: Column, least: float = 0.0) -> DataFrame:
-    """AGG-02, AGG-05: weighted outcome shares by entity, zeros kept, with raw and effective counts."""
-    weighted = df.filter(F.col(outcome).isNotNull()).withColumn("__w", weight.cast("double"))
-    sums = weighted.groupBy(entity).agg(F.count(F.lit(1)).alias("n"), F.sum("__w").alias("w"), stats.effective(F.col("__w")).alias("n_eff"), *class_sums(outcome, classes, F.col("__w")))
+def outcome_mix(df: DataFrame, entity: str, outcome: str, classes: list[str], weight: Column, least: float = 0.0, rows: str | None = None) -> DataFrame:
+    """AGG-02, AGG-05: weighted outcome shares by entity, zeros kept, with raw and effective counts. rows: a count of equal rows that each row stands for."""
+    each = F.lit(1).cast("long") if rows is None else F.col(rows)
+    weighted = df.filter(F.col(outcome).isNotNull()).withColumns({"__w": weight.cast("double"), "__n": each})
+    w = F.col("__w")
+    sums = weighted.groupBy(entity).agg(F.sum("__n").alias("n"), F.sum(F.col("__n") * w).alias("w"), F.sum(F.col("__n") * w * w).alias("ww"), *class_sums(outcome, classes, F.col("__n") * w))
+    sums = sums.withColumn("n_eff", F.try_divide(F.col("w") * F.col("w"), F.col("ww")))
     cells = unpivot_classes(sums.filter(F.col("w") > least), [F.col(entity), F.col("n"), F.col("w"), F.col("n_eff")], outcome, classes, own="c")
     return cells.select(entity, outcome, "n", "n_eff", F.try_divide(F.col("own"), F.col("w")).alias("rate"), (F.try_divide(F.col("own"), F.col("w")) * F.col("n_eff")).alias("k_eff"))
 
@@ -61,38 +66,48 @@ def peer_mix(df: DataFrame, entity: str, outcome: str, classes: list[str]) -> Da
 def opponent_adjusted(df: DataFrame, entity: str, opponent: str, outcome: str, classes: list[str], least: int = 20) -> DataFrame:
     """AGG-11: raw rate, rate expected from the opponents met, and the difference to the league's.
 
-    What an opponent draws is taken from other entities' rows against it; under `least` such rows the league stands in.
-    Rows without an opponent count in raw and not in expected.
+    What an opponent draws is taken from all other rows against it, those of a null entity too; under `least` such rows
+    the league, which is all rows, stands in. Rows without an opponent count in raw and not in expected; an entity that
+    met none is expected to be the league's mean.
     """
-    known = df.filter(F.col(outcome).isNotNull() & F.col(entity).isNotNull())
+    known = df.filter(F.col(outcome).isNotNull())
     pairs = known.groupBy(entity, opponent).agg(F.count(F.lit(1)).alias("n"), *class_sums(outcome, classes))
     k = range(len(classes))
-    by_opponent, by_entity = Window.partitionBy(opponent), Window.partitionBy(entity)
+    by_opponent = Window.partitionBy(opponent)
     total = pairs.agg(F.sum("n").alias("all_n"), *(F.sum(f"c{i}").alias(f"a{i}") for i in k))
     wide = pairs.withColumns({"opp_n": F.sum("n").over(by_opponent) - F.col("n"), **{f"o{i}": F.sum(f"c{i}").over(by_opponent) - F.col(f"c{i}") for i in k}})
-    wide = wide.withColumns({"own_n": F.sum("n").over(by_entity), **{f"e{i}": F.sum(f"c{i}").over(by_entity) for i in k}}).crossJoin(F.broadcast(total))
-    league = lambda i: F.try_divide(F.col(f"a{i}") - F.col(f"e{i}"), F.col("all_n") - F.col("own_n"))
+    wide = wide.filter(F.col(entity).isNotNull()).crossJoin(F.broadcast(total))  # one row
+    league = lambda i: F.try_divide(F.col(f"a{i}"), F.col("all_n"))
     met = F.col(opponent).isNotNull()
-    aggs = [F.max("own_n").alias("n"), F.sum(F.when(met, F.col("n"))).alias("met")]
+    aggs = [F.sum("n").alias("n"), F.sum(F.when(met, F.col("n"))).alias("met")]
     for i in k:
         draws = F.when(F.col("opp_n") >= least, F.col(f"o{i}") / F.col("opp_n")).otherwise(league(i))
-        aggs += [F.max(F.col(f"e{i}") / F.col("own_n")).alias(f"r{i}"), F.sum(F.when(met, draws * F.col("n"))).alias(f"x{i}"), F.max(league(i)).alias(f"l{i}")]
+        aggs += [(F.sum(f"c{i}") / F.sum("n")).alias(f"r{i}"), F.sum(F.when(met, draws * F.col("n"))).alias(f"x{i}"), F.max(league(i)).alias(f"l{i}")]
     cells = unpivot_classes(wide.groupBy(entity).agg(*aggs), [F.col(entity), F.col("n"), F.col("met")], outcome, classes, raw="r", drawn="x", league="l")
-    expected = F.try_divide(F.col("drawn"), F.col("met"))
+    expected = F.coalesce(F.try_divide(F.col("drawn"), F.col("met")), F.col("league"))
     return cells.select(entity, outcome, "n", "raw", expected.alias("expected"), (F.col("raw") - expected + F.col("league")).alias("adjusted"), "league", (expected - F.col("league")).alias("schedule_effect"))
 
 
-def halves(df: DataFrame, entity: str, outcome: str, week: str, classes: list[str], least: float = 0.08) -> DataFrame:
-    """AGG-12: outcome shares before and from the middle distinct week of each entity, where they moved."""
-    weeks = df.filter(F.col(week).isNotNull()).groupBy(entity).agg(F.array_sort(F.collect_set(week)).alias("weeks"))
-    cut = weeks.select(entity, F.get("weeks", F.floor(F.size("weeks") / 2).cast("int")).alias("cut"))
-    late = F.col(week) >= F.col("cut")
-    split = df.filter(F.col(outcome).isNotNull()).join(cut, entity)
-    one = lambda side: F.sum(F.when(side, 1).otherwise(0).cast("long"))
-    sums = split.groupBy(entity).agg(one(~late).alias("n1"), one(late).alias("n2"), *(one(~late & (F.col(outcome) == c)).alias(f"f{i}") for i, c in enumerate(classes)), *(one(late & (F.col(outcome) == c)).alias(f"s{i}") for i, c in enumerate(classes)))
-    cells = unpivot_classes(sums, [F.col(entity), F.col("n1"), F.col("n2")], outcome, classes, f="f", s="s")
-    rates = cells.select(entity, outcome, F.try_divide("f", "n1").alias("first_rate"), F.try_divide("s", "n2").alias("second_rate"))
-    return rates.filter((F.abs(F.col("second_rate") - F.col("first_rate")) >= least) & (F.greatest("first_rate", "second_rate") >= least))
+def halves(df: DataFrame, entity: str, outcome: str, week: str, classes: list[str], least: float = 0.08, least_weeks: int = 4, most: int = 4) -> DataFrame:
+    """AGG-12: outcome shares before and from the middle distinct week of each entity with enough weeks, where they moved: the first `most` by the order of classes, each with a sentence.
+
+    Rows without an outcome or week take no part.
+    """
+    k = range(len(classes))
+    known = df.filter(F.col(outcome).isNotNull() & F.col(week).isNotNull() & F.col(entity).isNotNull())
+    weekly = known.groupBy(entity, week).agg(F.count(F.lit(1)).alias("n"), *class_sums(outcome, classes))
+    order, whole = Window.partitionBy(entity).orderBy(week), Window.partitionBy(entity)
+    placed = weekly.withColumns({"__nth": F.row_number().over(order), "__weeks": F.count(F.lit(1)).over(whole)}).filter(F.col("__weeks") >= least_weeks)
+    late = F.col("__nth") > F.floor(F.col("__weeks") / 2)
+    part = lambda c, side: F.sum(F.when(side, F.col(c)).otherwise(0))
+    sums = placed.groupBy(entity).agg(F.min(F.when(late, F.col(week))).alias("cut"), part("n", ~late).alias("n1"), part("n", late).alias("n2"), *(part(f"c{i}", ~late).alias(f"f{i}") for i in k), *(part(f"c{i}", late).alias(f"s{i}") for i in k), *(F.max(F.lit(i)).alias(f"o{i}") for i in k))
+    cells = unpivot_classes(sums, [F.col(entity), F.col("cut"), F.col("n1"), F.col("n2")], outcome, classes, f="f", s="s", nth="o")
+    first, second = F.col("f") / F.col("n1"), F.col("s") / F.col("n2")
+    moved = cells.withColumns({"first_rate": first, "second_rate": second}).filter((F.abs(F.col("second_rate") - F.col("first_rate")) >= least) & (F.greatest("first_rate", "second_rate") >= least))
+    top = moved.withColumn("__rn", F.row_number().over(Window.partitionBy(entity).orderBy("nth"))).filter(F.col("__rn") <= most)
+    way = F.when(F.col("second_rate") > F.col("first_rate"), "up").otherwise("down")
+    line = F.concat(F.col(outcome), F.lit(" is "), way, F.lit(" from "), percent(F.col("first_rate")), F.lit(" in the first half of the season to "), percent(F.col("second_rate")), F.lit(" since week "), F.col("cut").cast("long").cast("string"), F.lit("."))
+    return top.select(entity, outcome, "first_rate", "second_rate", line.alias("line"))
 
 
 def situational_value(df: DataFrame, keys: list[str], values: dict[str, Column], least: int = 8) -> DataFrame:
@@ -101,8 +116,8 @@ def situational_value(df: DataFrame, keys: list[str], values: dict[str, Column],
     return df.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("plays"), *(F.avg(v).alias(n) for n, v in values.items())).filter(F.col("plays") >= least)
 
 
-def scheme_splits(df: DataFrame, entity: str, outcome: str, week: str, classes: list[str], margin: int = 2, least: int = 30) -> DataFrame:
-    """AGG-13, WIN-17: for every candidate split week the chi-square statistic of outcomes before against after.
+def scheme_splits(df: DataFrame, entity: str, outcome: str, week: str, classes: list[str], margin: int = 3, least: int = 30) -> DataFrame:
+    """AGG-13, WIN-17: for every candidate split week, `margin` weeks or more from either end, the chi-square statistic of outcomes before against after, with the correction for continuity at one degree of freedom.
 
     Weekly counts are cumulated by window, so rows are read once whatever the number of splits.
     """
@@ -116,25 +131,30 @@ def scheme_splits(df: DataFrame, entity: str, outcome: str, week: str, classes:
         *(F.coalesce(F.sum(f"c{i}").over(upto), F.lit(0)).alias(f"b{i}") for i in k), *(F.sum(f"c{i}").over(whole).alias(f"t{i}") for i in k),
     )
     after = F.col("total") - F.col("before")
-    terms, present = [], []
+    terms, corrected, present = [], [], []
     for i in k:
         share, x, y = F.col(f"t{i}") / F.col("total"), F.col(f"b{i}"), F.col(f"t{i}") - F.col(f"b{i}")
-        terms.append(F.coalesce(F.try_divide(F.pow(x - share * F.col("before"), 2), share * F.col("before")), F.lit(0.0)) + F.coalesce(F.try_divide(F.pow(y - share * after, 2), share * after), F.lit(0.0)))
+        both = [(F.abs(v - share * m), share * m) for v, m in ((x, F.col("before")), (y, after))]
+        terms += [F.coalesce(F.try_divide(off * off, due), F.lit(0.0)) for off, due in both]
+        corrected += [F.coalesce(F.try_divide(F.pow(F.greatest(off - 0.5, F.lit(0.0)), 2), due), F.lit(0.0)) for off, due in both]
         present.append((F.col(f"t{i}") > 0).cast("int"))
+    add = lambda many: reduce(lambda a, b: a + b, many)
+    df_ = add(present) - 1
     inside = (F.col("nth") > margin) & (F.col("nth") <= F.col("weeks") - margin + 1)
-    out = sums.filter(inside).select(entity, week, "before", after.alias("after"), F.count(F.lit(1)).over(whole).alias("candidates"), reduce(lambda a, b: a + b, terms).alias("chi2"), (reduce(lambda a, b: a + b, present) - 1).alias("df"))
-    return out.filter((F.col("before") >= least) & (F.col("after") >= least))
+    out = sums.filter(inside).select(entity, week, "before", after.alias("after"), F.count(F.lit(1)).over(whole).alias("candidates"), F.when(df_ == 1, add(corrected)).otherwise(add(terms)).alias("chi2"), df_.alias("df"))
+    return out.filter((F.col("before") >= least) & (F.col("after") >= least) & (F.col("df") >= 1))
 
 
-def detect_scheme_change(df: DataFrame, entity: str, outcome: str, week: str, classes: list[str], alpha: float = 0.01, margin: int = 2, least: int = 30) -> DataFrame:
+def detect_scheme_change(df: DataFrame, entity: str, outcome: str, week: str, classes: list[str], alpha: float = 0.01, margin: int = 3, least: int = 30) -> DataFrame:
     """AGG-13: the split with the smallest Bonferroni-adjusted p by entity, where significant; the earliest of ties."""
     p = F.least(F.lit(1.0), stats.chi_square_p(F.col("chi2"), F.col("df")) * F.col("candidates"))
     splits = scheme_splits(df, entity, outcome, week, classes, margin, least).withColumn("p", p)
     return splits.groupBy(entity).agg(F.min(F.struct("p", week, "chi2")).alias("best")).select(entity, "best.*").filter(F.col("p") < alpha)
 
 
-def family_split(mix: DataFrame, entity: str, outcome: str, rate: str, families: dict[str, str]) -> DataFrame:
-    """AGG-44: shares summed over families of outcomes, with the difference to the mean of entities."""
+def family_split(mix: DataFrame, entity: str, outcome: str, rate: str, families: dict[str, str], count: str = "n") -> DataFrame:
+    """AGG-44: shares summed over families of outcomes, with the difference to the league's: the shares of all rows."""
     family = reduce(lambda acc, kv: acc.when(F.col(outcome) == kv[0], kv[1]), families.items(), F.when(F.lit(False), ""))
-    sums = mix.withColumn("family", family).filter("family is not null").groupBy(entity, "family").agg(F.sum(rate).alias("share"))
-    return sums.withColumn("delta", F.col("share") - F.avg("share").over(Window.partitionBy("family")))
+    sums = mix.withColumn("family", family).filter("family is not null").groupBy(entity, "family").agg(F.sum(rate).alias("share"), F.max(count).alias("__n"))
+    every = Window.partitionBy("family")
+    return sums.withColumn("delta", F.col("share") - F.sum(F.col("share") * F.col("__n")).over(every) / F.sum("__n").over(every)).drop("__n")

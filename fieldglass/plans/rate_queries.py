@@ -3,24 +3,70 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import stats
 from ..operators import mining, rates, sequences
 from .tables import CUE_LONG, CUES, DIMS, LC, PRIORITIES, cue_table, longs, query, rounded, table
 
-CELLS = f"""{LC}, {CUE_LONG}, {DIMS},
-own AS (SELECT team, cue_key, cue_value, count(*) AS n FROM long GROUP BY ALL),
-hits AS (SELECT team, cue_key, cue_value, outcome, count(*) AS k FROM long GROUP BY ALL),
-alln AS (SELECT cue_key, cue_value, sum(n) AS n FROM own GROUP BY ALL),
-allk AS (SELECT cue_key, cue_value, outcome, sum(k) AS k FROM hits GROUP BY ALL),
-cells AS (SELECT o.team, o.cue_key, o.cue_value, d.outcome, o.n, coalesce(h.k, 0) AS k, a.n - o.n AS peer_n, coalesce(b.k, 0) - coalesce(h.k, 0) AS peer_k
-  FROM own o CROSS JOIN dims d JOIN alln a USING (cue_key, cue_value) LEFT JOIN hits h ON h.team = o.team AND h.cue_key = o.cue_key AND h.cue_value = o.cue_value AND h.outcome = d.outcome
-  LEFT JOIN allk b ON b.cue_key = o.cue_key AND b.cue_value = o.cue_value AND b.outcome = d.outcome
-  WHERE o.n >= 10 AND a.n - o.n >= 10 AND coalesce(b.k, 0) > 0)"""
+#: (fold, rows with their weight w) without folds: each team's weeks against its last.
+ONCE = "fw AS (SELECT 0 AS fold, wk.*, power(0.5, greatest(r.ref - week, 0) / 3.0) AS w FROM wk JOIN (SELECT team, max(week) AS ref FROM lc GROUP BY team) r USING (team))"
+PLAIN = "fw AS (SELECT 0 AS fold, wk.*, 1.0::DOUBLE AS w FROM wk)"
+#: Every week after the fourth, trained on all weeks before it.
+FOLDED = "weeks AS (SELECT week, row_number() OVER (ORDER BY week) AS nth, lag(week) OVER (ORDER BY week) AS ref FROM (SELECT DISTINCT week FROM lc)), fw AS (SELECT f.week AS fold, wk.*, power(0.5, (f.ref - wk.week) / 3.0) AS w FROM wk JOIN weeks f ON wk.week < f.week WHERE f.nth > 4)"
+Z = stats.Z95
+FAMILY = {"qty_band": "amount", "size_band": "amount"}
+
+
+def cells_sql(rows: str) -> str:
+    """Common table expressions up to `cells`: every team, cue value and outcome with enough rows on both sides."""
+    return f"""{LC}, {CUE_LONG}, {DIMS},
+wk AS (SELECT team, cue_key, cue_value, outcome, week, count(*) AS c FROM (SELECT team, outcome, week, cue_key, cue_value FROM long UNION ALL SELECT team, outcome, week, '', '' FROM lc) GROUP BY ALL),
+{rows},
+own AS (SELECT fold, team, cue_key, cue_value, sum(c) AS n, sum(c * w) AS w, sum(c * w * w) AS w2 FROM fw GROUP BY ALL),
+hits AS (SELECT fold, team, cue_key, cue_value, outcome, sum(c) AS k, sum(c * w) AS kw FROM fw GROUP BY ALL),
+grid AS (SELECT o.*, d.outcome, coalesce(h.k, 0) AS k, coalesce(h.kw, 0) AS kw FROM own o CROSS JOIN dims d LEFT JOIN hits h ON h.fold = o.fold AND h.team = o.team AND h.cue_key = o.cue_key AND h.cue_value = o.cue_value AND h.outcome = d.outcome),
+peer AS (SELECT *, sum(n) OVER c - n AS peer_n, sum(k) OVER c - k AS peer_k, count(*) OVER c - 1 AS peers, sum(k * k / n) OVER c - k * k / n AS sq FROM grid WINDOW c AS (PARTITION BY fold, cue_key, cue_value, outcome)),
+tot AS (SELECT fold, team, outcome, n AS plays, kw / w AS base, peer_k / peer_n AS league FROM peer WHERE cue_key = ''),
+cells AS (SELECT p.*, w * w / w2 AS n_eff, kw / w AS rate, peer_k / peer_n AS peer_rate, plays, base, league, row_number() OVER () AS id, sq / peer_n - power(peer_k / peer_n, 2) - peer_k / peer_n * (1 - peer_k / peer_n) * peers / peer_n AS between_
+  FROM peer p JOIN tot USING (fold, team, outcome) WHERE cue_key <> '' AND n >= 10 AND peer_n >= 10 AND w * w / w2 >= 10 - 1e-9 AND (k > 0 OR peer_k > 0)),
+priors AS (SELECT *, CASE WHEN peers < 4 OR peer_rate <= 0 OR peer_rate >= 1 THEN 20 WHEN between_ <= 1e-9 THEN 50 ELSE greatest(2, least(100, peer_rate * (1 - peer_rate) / between_ - 1)) END AS strength,
+  greatest(0.001, least(0.999, base)) AS b_, greatest(0.001, least(0.999, peer_rate)) AS p_, greatest(0.001, least(0.999, league)) AS l_ FROM cells)"""
+
+
+def tells_sql(rows: str, lift: float, most: int) -> str:
+    """Further expressions up to `tells`, with every candidate significant."""
+    low, high = (f"(((kk / nn) + {Z} * {Z} / (2 * nn)) {sign} {Z} * sqrt(kk / nn * (1 - kk / nn) / nn + {Z} * {Z} / (4.0 * nn * nn))) / (1 + {Z} * {Z} / nn)" for sign in "-+")
+    family = "CASE " + " ".join(f"WHEN cue_key = '{c}' THEN '{f}'" for c, f in FAMILY.items()) + " ELSE cue_key END"
+    return f"""{cells_sql(rows)},
+e AS (SELECT *, 1 / (1 + exp(-(ln(b_ / (1 - b_)) + ln(p_ / (1 - p_)) - ln(l_ / (1 - l_))))) AS expected, round_even(rate * n_eff, 0)::BIGINT AS kk, round_even(n_eff, 0)::BIGINT AS nn, least(peer_n, plays)::BIGINT AS bt FROM priors),
+t AS (SELECT *, round_even(expected * bt, 0)::BIGINT AS bs, (kk + expected * strength) / (nn + strength) AS shrunk FROM e),
+x1 AS (SELECT id, kk, nn, expected AS r, unnest(range(0, nn + 1)) AS i FROM t WHERE bt > 20 * nn),
+y1 AS (SELECT id, lgamma(nn + 1) - lgamma(i + 1) - lgamma(nn - i + 1) + i * ln(r) + (nn - i) * ln(1 - r) AS lp, lgamma(nn + 1) - lgamma(kk + 1) - lgamma(nn - kk + 1) + kk * ln(r) + (nn - kk) * ln(1 - r) AS l0 FROM x1),
+x2 AS (SELECT id, kk, nn, bt, kk + bs AS h, unnest(range(greatest(0, kk + bs - bt), least(nn, kk + bs) + 1)) AS i FROM t WHERE bt <= 20 * nn),
+y2 AS (SELECT id, lgamma(nn + 1) - lgamma(i + 1) - lgamma(nn - i + 1) + lgamma(bt + 1) - lgamma(h - i + 1) - lgamma(bt - h + i + 1) AS lp, lgamma(nn + 1) - lgamma(kk + 1) - lgamma(nn - kk + 1) + lgamma(bt + 1) - lgamma(h - kk + 1) - lgamma(bt - h + kk + 1) AS l0,
+  lgamma(nn + bt + 1) - lgamma(h + 1) - lgamma(nn + bt - h + 1) AS whole FROM x2),
+ps AS (SELECT id, least(1, sum(exp(lp)) FILTER (lp <= l0 + 1e-7)) AS p FROM y1 GROUP BY id UNION ALL SELECT id, least(1, sum(exp(lp - whole)) FILTER (lp <= l0 + 1e-7)) FROM y2 GROUP BY id),
+r AS (SELECT t.*, p, row_number() OVER (PARTITION BY fold, team ORDER BY p, cue_key, cue_value, outcome) AS rk, count(*) OVER (PARTITION BY fold, team) AS m FROM t JOIN ps USING (id)),
+q AS (SELECT *, least(1, min(p * m / rk) OVER (PARTITION BY fold, team ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r),
+o AS (SELECT fold, team, cue_key, cue_value, outcome, nn AS n_cue, kk AS n_cue_outcome, round(rate, 4) AS raw_rate, round(shrunk, 4) AS shrunk_rate, round(peer_rate, 4) AS baseline_rate, peer_n::BIGINT AS baseline_n, round(base, 4) AS team_base_rate, round(expected, 4) AS expected_rate,
+  round(shrunk - expected, 4) AS lift, round(greatest(0, {low}), 4) AS ci_low, round(least(1, {high}), 4) AS ci_high, round(p, 6) AS p_value, round(q, 5) AS q_value, round(n / plays, 4) AS support, round(strength, 2) AS prior_strength FROM q),
+sc AS (SELECT *, round((CASE WHEN lift > 0 AND expected_rate > 1e-6 AND shrunk_rate > expected_rate THEN greatest(abs(lift), shrunk_rate * least(log2(shrunk_rate / expected_rate) / 3, 1)) ELSE abs(lift) END) * (0.5 + 0.5 * (1 - q_value)) * (0.4 + 0.6 * ln(1 + n_cue) / ln(61)) * (CASE WHEN lift > 0 THEN shrunk_rate ELSE 1 - shrunk_rate END) * (0.5 + 0.5 * least(support * 4, 1)), 4) AS score FROM o),
+fl AS (SELECT * FROM sc WHERE abs(lift) >= {lift} OR (lift > 0 AND shrunk_rate >= greatest(2.5 * expected_rate, 0.08)) OR (lift <= 0 AND shrunk_rate > 0 AND expected_rate >= greatest(2.5 * shrunk_rate, 0.08))),
+fb AS (SELECT * FROM fl QUALIFY row_number() OVER (PARTITION BY fold, team, {family}, cue_value, outcome ORDER BY score DESC, cue_key) = 1),
+tells AS (SELECT *, row_number() OVER (PARTITION BY fold, team ORDER BY score DESC, cue_key, cue_value, outcome) AS rank FROM fb QUALIFY rank <= {most})"""
+
+
+#: Shown without the significance cut, which noise rarely passes.
+SHOWN = mining.MiningParams(alpha=1.01, least_lift=0.02, families=FAMILY)
+UNWEIGHTED = mining.MiningParams(alpha=1.01, least_lift=0.02, families=FAMILY, use_recency=False, most=5)
+TELL_COLUMNS = ["team", "cue_key", "cue_value", "outcome", "n_cue", "n_cue_outcome", "raw_rate", "shrunk_rate", "baseline_rate", "baseline_n", "team_base_rate", "expected_rate", "lift", "ci_low", "ci_high", "p_value", "q_value", "support", "prior_strength", "score", "rank"]
 
 
 def _cells(spark, d):
-    return mining.cue_cells(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES)
+    """Unweighted cells; p-values and scores are not taken."""
+    counts = mining.cue_counts(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES)
+    return mining.cells(mining.weighted_counts(counts, "team", PRIORITIES, UNWEIGHTED), "team", "outcome", PRIORITIES, UNWEIGHTED)
 
 
 @query(f"""WITH {DIMS}, b AS (SELECT r_name AS team, o_orderstatus, c_mktsegment, o_orderpriority AS outcome FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -43,11 +89,10 @@ WEIGHTED = f"WITH {LC}, {DIMS}, w AS (SELECT *, power(0.5, greatest((SELECT max(
 
 @query(f"{WEIGHTED} SELECT s.team, d.outcome, s.n, round(s.n_eff, 6) AS n_eff, round((SELECT coalesce(sum(w.w), 0) FROM w WHERE w.team = s.team AND w.outcome = d.outcome) / s.w, 6) AS rate, round((SELECT coalesce(sum(w.w), 0) FROM w WHERE w.team = s.team AND w.outcome = d.outcome) / s.w * s.n_eff, 6) AS k_eff FROM s, dims d")
 def outcome_mix_weighted(spark, d):
-    """AGG-02, AGG-05, WIN-02."""
-    lc = cue_table(spark, d)
-    last = lc.agg(F.max("week").alias("last"))
-    weighted = lc.crossJoin(F.broadcast(last))  # one row
-    return rounded(rates.outcome_mix(weighted, "team", "outcome", PRIORITIES, stats.recency(F.col("week"), F.col("last"), 3.0)))
+    """AGG-02, AGG-05, WIN-02: the rows become counts by team, outcome and week before anything is weighted."""
+    weekly = cue_table(spark, d).groupBy("team", "outcome", "week").agg(F.count(F.lit(1)).alias("rows"))
+    weighted = weekly.withColumn("last", F.max("week").over(Window.partitionBy()))  # few rows: teams times outcomes times weeks
+    return rounded(rates.outcome_mix(weighted, "team", "outcome", PRIORITIES, stats.recency(F.col("week"), F.col("last"), 3.0), rows="rows"))
 
 
 @query(f"WITH {LC}, {DIMS} SELECT t.team, d.outcome, round((SELECT count(*) FROM lc WHERE lc.team <> t.team AND lc.outcome = d.outcome) / (SELECT count(*) FROM lc WHERE lc.team <> t.team), 6) AS peer_rate FROM (SELECT DISTINCT team FROM lc) t, dims d")
@@ -59,7 +104,7 @@ def peer_mix(spark, d):
 @query(f"""WITH {LC}, {DIMS}, p AS (SELECT team, opponent, count(*) AS n FROM lc GROUP BY ALL),
 t AS (SELECT team, count(*) AS n FROM lc GROUP BY team),
 x AS (SELECT p.team, d.outcome, p.n, (SELECT count(*) FROM lc WHERE lc.team <> p.team AND lc.opponent = p.opponent) AS on_, (SELECT count(*) FROM lc WHERE lc.team <> p.team AND lc.opponent = p.opponent AND lc.outcome = d.outcome) AS ok,
- (SELECT count(*) FROM lc WHERE lc.team <> p.team AND lc.outcome = d.outcome) / (SELECT count(*) FROM lc WHERE lc.team <> p.team) AS league FROM p, dims d),
+ (SELECT count(*) FROM lc WHERE lc.outcome = d.outcome) / (SELECT count(*) FROM lc) AS league FROM p, dims d),
 e AS (SELECT team, outcome, sum(n * CASE WHEN on_ >= 20 THEN ok / on_ ELSE league END) / sum(n) AS expected, max(league) AS league FROM x GROUP BY ALL),
 r AS (SELECT t.team, d.outcome, t.n, (SELECT count(*) FROM lc WHERE lc.team = t.team AND lc.outcome = d.outcome) / t.n AS raw FROM t, dims d)
 SELECT team, outcome, n, round(raw, 6) AS raw, round(expected, 6) AS expected, round(raw - expected + league, 6) AS adjusted, round(league, 6) AS league, round(expected - league, 6) AS schedule_effect FROM r JOIN e USING (team, outcome)""")
@@ -81,12 +126,13 @@ def _types(spark, d):
     return sorted(r[0] for r in table(spark, d, "events").select("event_type").distinct().collect())
 
 
-@query(f"""WITH {EVENTS}, {TYPES_SQL}, w AS (SELECT team, list_sort(list(DISTINCT week)) AS ws FROM ev GROUP BY team), c AS (SELECT team, ws[CAST(floor(len(ws) / 2) AS BIGINT) + 1] AS cut FROM w),
-s AS (SELECT c.team, t.outcome, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week < cut) AS n1, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week >= cut) AS n2, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week < cut AND ev.outcome = t.outcome) AS f, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week >= cut AND ev.outcome = t.outcome) AS s FROM c, ts_ t)
-SELECT team, outcome, round(f / n1, 6) AS first_rate, round(s / n2, 6) AS second_rate FROM s WHERE abs(s / n2 - f / n1) >= 0.02 AND greatest(f / n1, s / n2) >= 0.02""")
+@query(f"""WITH {EVENTS}, {TYPES_SQL}, w AS (SELECT team, list_sort(list(DISTINCT week)) AS ws FROM ev GROUP BY team HAVING count(DISTINCT week) >= 4), c AS (SELECT team, ws[CAST(floor(len(ws) / 2) AS BIGINT) + 1] AS cut FROM w),
+s AS (SELECT c.team, t.outcome, cut, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week < cut) AS n1, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week >= cut) AS n2, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week < cut AND ev.outcome = t.outcome) AS f, (SELECT count(*) FROM ev WHERE ev.team = c.team AND week >= cut AND ev.outcome = t.outcome) AS s FROM c, ts_ t),
+m AS (SELECT * FROM s WHERE abs(s / n2 - f / n1) >= 0.005 AND greatest(f / n1, s / n2) >= 0.005 QUALIFY row_number() OVER (PARTITION BY team ORDER BY outcome) <= 4)
+SELECT team, outcome, round(f / n1, 6) AS first_rate, round(s / n2, 6) AS second_rate, outcome || ' is ' || CASE WHEN s / n2 > f / n1 THEN 'up' ELSE 'down' END || ' from ' || round_even(100 * f / n1, 0)::INT || '% in the first half of the season to ' || round_even(100 * s / n2, 0)::INT || '% since week ' || cut || '.' AS line FROM m""")
 def season_halves(spark, d):
     """AGG-12."""
-    return rounded(rates.halves(_events(spark, d), "team", "outcome", "week", _types(spark, d), 0.02))
+    return rounded(rates.halves(_events(spark, d), "team", "outcome", "week", _types(spark, d), 0.005))
 
 
 @query("""SELECT p_type, CASE WHEN l_quantity <= 10 THEN 'short' WHEN l_quantity <= 25 THEN 'medium' ELSE 'long' END AS band, l_returnflag, count(*) AS plays, round(avg(l_extendedprice), 4) AS mean_value, round(avg(CAST(l_discount >= 0.05 AS DOUBLE)), 6) AS success
@@ -104,8 +150,8 @@ def situational_value(spark, d):
 c AS (SELECT *, count(*) OVER (PARTITION BY team) AS candidates FROM r WHERE nth > 1 AND nth <= weeks),
 g AS (SELECT c.team, c.week, c.candidates, t.outcome, (SELECT count(*) FROM ev WHERE ev.team = c.team AND ev.week < c.week AND ev.outcome = t.outcome) AS b, (SELECT count(*) FROM ev WHERE ev.team = c.team AND ev.week >= c.week AND ev.outcome = t.outcome) AS a FROM c, ts_ t),
 s AS (SELECT *, sum(b) OVER (PARTITION BY team, week) AS nb, sum(a) OVER (PARTITION BY team, week) AS na FROM g)
-SELECT team, week, max(nb)::BIGINT AS before, max(na)::BIGINT AS after, max(candidates) AS candidates, round(sum(CASE WHEN a + b > 0 THEN power(b - (a + b) / (na + nb) * nb, 2) / ((a + b) / (na + nb) * nb) + power(a - (a + b) / (na + nb) * na, 2) / ((a + b) / (na + nb) * na) ELSE 0 END), 6) AS chi2, count(*) FILTER (a + b > 0) - 1 AS df
-FROM s GROUP BY team, week HAVING max(nb) >= 5 AND max(na) >= 5""")
+SELECT team, week, max(nb)::BIGINT AS before, max(na)::BIGINT AS after, max(candidates) AS candidates, round(sum(CASE WHEN a + b > 0 THEN power(greatest(abs(b - (a + b) / (na + nb) * nb) - y, 0), 2) / ((a + b) / (na + nb) * nb) + power(greatest(abs(a - (a + b) / (na + nb) * na) - y, 0), 2) / ((a + b) / (na + nb) * na) ELSE 0 END), 6) AS chi2, count(*) FILTER (a + b > 0) - 1 AS df
+FROM (SELECT *, CASE WHEN count(*) FILTER (a + b > 0) OVER (PARTITION BY team, week) = 2 THEN 0.5 ELSE 0 END AS y FROM s) GROUP BY team, week HAVING max(nb) >= 5 AND max(na) >= 5 AND count(*) FILTER (a + b > 0) > 1""")
 def scheme_splits(spark, d):
     """AGG-13, WIN-17."""
     return longs(rounded(rates.scheme_splits(_events(spark, d), "team", "outcome", "week", _types(spark, d), 1, 5)), "before", "after", "candidates", "df")
@@ -117,40 +163,33 @@ def scheme_change(spark, d):
     return rates.detect_scheme_change(_events(spark, d), "team", "outcome", "week", _types(spark, d), 1.01, 1, 5)
 
 
-@query(f"WITH {CELLS} SELECT team, cue_key, cue_value, outcome, n, round(n::DOUBLE, 6) AS n_eff, k, round(k / n, 6) AS rate, peer_n::BIGINT AS peer_n, peer_k::BIGINT AS peer_k, round(peer_k / peer_n, 6) AS peer_rate FROM cells")
+@query(f"WITH {cells_sql(PLAIN)} SELECT team, cue_key, cue_value, outcome, n::BIGINT AS n, round(n_eff, 6) AS n_eff, k::BIGINT AS k, round(rate, 6) AS rate, peer_n::BIGINT AS peer_n, peer_k::BIGINT AS peer_k, round(peer_rate, 6) AS peer_rate, plays::BIGINT AS plays, round(base, 6) AS base, round(league, 6) AS league FROM cells")
 def mine_cells(spark, d):
     """JOIN-09, AGG-06, OP-09, TRAP-23, TRAP-24."""
-    return rounded(_cells(spark, d))
+    return rounded(_cells(spark, d).select("team", "cue_key", "cue_value", "outcome", "n", "n_eff", "k", "rate", "peer_n", "peer_k", "peer_rate", "plays", "base", "league"))
 
 
-@query(f"""WITH {LC}, {CUE_LONG}, {DIMS}, own AS (SELECT team, cue_key, cue_value, count(*) AS n FROM long GROUP BY ALL HAVING count(*) >= 10),
-r AS (SELECT o.cue_key, o.cue_value, d.outcome, o.n, (SELECT count(*) FROM long l WHERE l.team = o.team AND l.cue_key = o.cue_key AND l.cue_value = o.cue_value AND l.outcome = d.outcome) AS k FROM own o, dims d),
-m AS (SELECT cue_key, cue_value, outcome, count(*) AS entities, sum(k) / sum(n) AS mean, sum(n * (k / n) * (k / n)) / sum(n) AS sq, avg(1 / n) AS inv FROM r GROUP BY ALL),
-v AS (SELECT *, greatest(sq - mean * mean, 0) - mean * (1 - mean) * inv AS var FROM m)
-SELECT cue_key, cue_value, outcome, entities, round(mean, 6) AS mean, round(CASE WHEN entities < 4 OR mean <= 0 OR mean >= 1 THEN 20 WHEN var <= 1e-9 THEN 50 ELSE greatest(2, least(100, mean * (1 - mean) / var - 1)) END, 4) AS strength FROM v""")
+@query(f"WITH {cells_sql(PLAIN)} SELECT team, cue_key, cue_value, outcome, peers, round(strength, 4) AS strength FROM priors")
 def prior_strength(spark, d):
-    """AGG-07."""
-    return rounded(rounded(mining.prior_strength(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES), "mean"), "strength", digits=4)
-
-
-Z = stats.Z95
+    """AGG-07, of the peers of every team."""
+    return rounded(_cells(spark, d).select("team", "cue_key", "cue_value", "outcome", "peers", "strength"), digits=4)
 
 
-@query(f"""WITH {CELLS} SELECT team, cue_key, cue_value, outcome, round(greatest(0, ((k / n) + {Z} * {Z} / (2 * n)) / (1 + {Z} * {Z} / n) - {Z} / (1 + {Z} * {Z} / n) * sqrt(k / n * (1 - k / n) / n + {Z} * {Z} / (4.0 * n * n))), 6) AS low,
+@query(f"""WITH {cells_sql(PLAIN)}, e AS (SELECT *, 1 / (1 + exp(-(ln(b_ / (1 - b_)) + ln(p_ / (1 - p_)) - ln(l_ / (1 - l_))))) AS expected FROM priors),
+f AS (SELECT *, (k + expected * strength) / (n + strength) AS shrunk FROM e)
+SELECT team, cue_key, cue_value, outcome, round(greatest(0, ((k / n) + {Z} * {Z} / (2 * n)) / (1 + {Z} * {Z} / n) - {Z} / (1 + {Z} * {Z} / n) * sqrt(k / n * (1 - k / n) / n + {Z} * {Z} / (4.0 * n * n))), 6) AS low,
 round(least(1, ((k / n) + {Z} * {Z} / (2 * n)) / (1 + {Z} * {Z} / n) + {Z} / (1 + {Z} * {Z} / n) * sqrt(k / n * (1 - k / n) / n + {Z} * {Z} / (4.0 * n * n))), 6) AS high,
-round((k + peer_k / peer_n * 20) / (n + 20), 6) AS posterior,
-round(1 / (1 + exp(-(ln(greatest(0.001, least(0.999, peer_k / peer_n)) / (1 - greatest(0.001, least(0.999, peer_k / peer_n)))) + ln(greatest(0.001, least(0.999, k / n)) / (1 - greatest(0.001, least(0.999, k / n)))) - ln(0.2 / 0.8)))), 6) AS transported,
-round(abs(k / n - peer_k / peer_n) * (1 + abs(log2(greatest(k / n, 0.01) / greatest(peer_k / peer_n, 0.01)))) * ln(1 + n), 6) AS score, abs(k / n - peer_k / peer_n) >= 0.1 OR (k / n >= 0.08 AND k / n >= 2.5 * (peer_k / peer_n)) AS passes FROM cells""")
+round(expected, 6) AS expected, round(shrunk, 6) AS shrunk, abs(shrunk - expected) >= 0.02 OR (shrunk > expected AND shrunk >= greatest(2.5 * expected, 0.08)) OR (shrunk <= expected AND shrunk > 0 AND expected >= greatest(2.5 * shrunk, 0.08)) AS passes FROM f""")
 def cell_statistics(spark, d):
-    """FN-MATH-05, FN-MATH-06, FN-MATH-08, FN-MATH-09, PRJ-18."""
-    c = _cells(spark, d)
-    rate, peer = F.col("k") / F.col("n"), F.col("peer_k") / F.col("peer_n")
+    """FN-MATH-05, FN-MATH-06, FN-MATH-08, PRJ-18."""
+    c = _cells(spark, d).withColumn("expected", stats.transported(F.col("peer_rate"), F.col("league"), F.col("base")))
+    c = c.withColumn("shrunk", stats.posterior(F.col("k"), F.col("n"), F.col("expected"), F.col("strength")))
     low, high = stats.wilson(F.col("k"), F.col("n"))
-    out = c.select("team", "cue_key", "cue_value", "outcome", low.alias("low"), high.alias("high"), stats.posterior(F.col("k"), F.col("n"), peer, F.lit(20.0)).alias("posterior"), stats.transported(rate, F.lit(0.2), peer).alias("transported"), mining.tell_score(rate, peer, F.col("n")).alias("score"), mining.effect_floor(rate, peer, mining.MiningParams()).alias("passes"))
-    return rounded(out)
+    passes = mining.effect_floor(F.col("shrunk"), F.col("expected"), F.col("shrunk") - F.col("expected"), SHOWN)
+    return rounded(c.select("team", "cue_key", "cue_value", "outcome", low.alias("low"), high.alias("high"), "expected", "shrunk", passes.alias("passes")))
 
 
-@query(f"""WITH {CELLS}, x AS (SELECT *, k + peer_k AS hits, n + peer_n AS total FROM cells),
+@query(f"""WITH {cells_sql(PLAIN)}, x AS (SELECT *, k + peer_k AS hits, n + peer_n AS total FROM cells),
 y AS (SELECT team, cue_key, cue_value, outcome, k, n, peer_k, peer_n, hits, total, unnest(range(CAST(greatest(0, hits - peer_n) AS BIGINT), CAST(least(n, hits) + 1 AS BIGINT))) AS i FROM x),
 l AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + lgamma(peer_n + 1) - lgamma(hits - i + 1) - lgamma(peer_n - hits + i + 1) - (lgamma(total + 1) - lgamma(hits + 1) - lgamma(total - hits + 1)) AS lp,
  lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + lgamma(peer_n + 1) - lgamma(hits - k + 1) - lgamma(peer_n - hits + k + 1) - (lgamma(total + 1) - lgamma(hits + 1) - lgamma(total - hits + 1)) AS l0 FROM y)
@@ -160,7 +199,7 @@ def fisher_test(spark, d):
     return rounded(_cells(spark, d).select("team", "cue_key", "cue_value", "outcome", stats.fisher_p("k", "n", "peer_k", "peer_n").alias("p")))
 
 
-@query(f"""WITH {CELLS}, y AS (SELECT team, cue_key, cue_value, outcome, k, n, peer_k / peer_n AS q, unnest(range(0, n + 1)) AS i FROM cells WHERE peer_k > 0 AND peer_k < peer_n),
+@query(f"""WITH {cells_sql(PLAIN)}, y AS (SELECT team, cue_key, cue_value, outcome, k, n, peer_k / peer_n AS q, unnest(range(0, n::BIGINT + 1)) AS i FROM cells WHERE peer_k > 0 AND peer_k < peer_n),
 l AS (SELECT *, lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(q) + (n - i) * ln(1 - q) AS lp, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(q) + (n - k) * ln(1 - q) AS l0 FROM y)
 SELECT team, cue_key, cue_value, outcome, round(least(1, sum(exp(lp)) FILTER (lp <= l0 + 1e-7)), 6) AS p FROM l GROUP BY ALL""")
 def binomial_test(spark, d):
@@ -169,7 +208,7 @@ def binomial_test(spark, d):
     return rounded(c.select("team", "cue_key", "cue_value", "outcome", stats.binomial_p(F.col("k"), F.col("n"), F.col("peer_k") / F.col("peer_n")).alias("p")))
 
 
-@query(f"""WITH {CELLS}, z AS (SELECT team, cue_key, cue_value, outcome, round(abs(k / n - peer_k / peer_n), 4) AS p FROM cells), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY p, cue_key, cue_value, outcome) AS rk, count(*) OVER (PARTITION BY team) AS m FROM z)
+@query(f"""WITH {cells_sql(PLAIN)}, z AS (SELECT team, cue_key, cue_value, outcome, round(abs(k / n - peer_k / peer_n), 4) AS p FROM cells), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY p, cue_key, cue_value, outcome) AS rk, count(*) OVER (PARTITION BY team) AS m FROM z)
 SELECT team, cue_key, cue_value, outcome, p, round(least(1, min(p * m / rk) OVER (PARTITION BY team ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r""")
 def bh_qvalues(spark, d):
     """WIN-01, over a number in [0, 1] in place of p."""
@@ -177,54 +216,52 @@ def bh_qvalues(spark, d):
     return rounded(z.withColumn("q", stats.benjamini_hochberg(F.col("p"), [F.col("cue_key"), F.col("cue_value"), F.col("outcome")], ["team"])), "q")
 
 
-@query()
+@query(f"WITH {tells_sql(ONCE, 0.02, 25)} SELECT {', '.join(TELL_COLUMNS)} FROM tells")
 def mine_tells(spark, d):
-    """The whole of mining: AGG-05..07, JOIN-09, FN-MATH-05..09, WIN-01, PRJ-19, SRT-01. Shown without the significance cut, which noise rarely passes."""
-    params = mining.MiningParams(alpha=1.01, least_lift=0.02)
-    return mining.mine(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES, None, params)
+    """The whole of mining: AGG-05..07, JOIN-09, FN-MATH-05..09, WIN-01, WIN-02, PRJ-18, PRJ-19, SRT-01, SRT-02."""
+    found = mining.mine(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES, "week", SHOWN)
+    return longs(rounded(found.select(TELL_COLUMNS), "p_value"), "rank")
 
 
-@query(f"""WITH {CELLS}, s AS (SELECT team, cue_key, cue_value, outcome, round(abs(k / n - peer_k / peer_n) * (1 + abs(log2(greatest(k / n, 0.01) / greatest(peer_k / peer_n, 0.01)))) * ln(1 + n), 4) AS score FROM cells),
-f AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY team, CASE WHEN cue_key IN ('qty_band', 'size_band') THEN 'amount' ELSE cue_key END, cue_value, outcome ORDER BY score DESC, cue_key) = 1)
-SELECT team, cue_key, cue_value, outcome, score, row_number() OVER (PARTITION BY team ORDER BY score DESC, cue_key, cue_value, outcome) AS rank FROM f QUALIFY rank <= 25""")
+@query(f"WITH {tells_sql(PLAIN, 0.02, 5)} SELECT team, cue_key, cue_value, outcome, score, rank FROM tells")
 def tells_topk(spark, d):
-    """SRT-01, SRT-02, TRAP-10."""
-    c = _cells(spark, d)
-    scored = c.select("team", "cue_key", "cue_value", "outcome", F.round(mining.tell_score(F.col("k") / F.col("n"), F.col("peer_k") / F.col("peer_n"), F.col("n")), 4).alias("score"))
-    best = mining.family_best(scored, {"qty_band": "amount", "size_band": "amount"}, "team", "outcome")
-    return longs(sequences.top_k(best, ["team"], [F.col("score").desc(), F.col("cue_key"), F.col("cue_value"), F.col("outcome")], 25), "rank")
-
-
-FOLDS = f"""WITH {LC}, {CUE_LONG}, {DIMS}, wk AS (SELECT team, cue_key, cue_value, week, count(*) AS n FROM long GROUP BY ALL),
-f AS (SELECT w.team, w.cue_key, w.cue_value, w.week, w.n, (SELECT coalesce(sum(n), 0) FROM wk x WHERE x.team = w.team AND x.cue_key = w.cue_key AND x.cue_value = w.cue_value AND x.week < w.week) AS own_n, (SELECT coalesce(sum(n), 0) FROM wk x WHERE x.cue_key = w.cue_key AND x.cue_value = w.cue_value AND x.week < w.week) AS all_n FROM wk w WHERE w.week >= 8),
-a AS (SELECT * FROM f WHERE own_n >= 10 AND all_n - own_n >= 10),
-hk AS (SELECT team, cue_key, cue_value, week, outcome, count(*) AS k FROM long GROUP BY ALL), ak AS (SELECT cue_key, cue_value, week, outcome, sum(k) AS k FROM hk GROUP BY ALL),
-c AS (SELECT a.*, d.outcome, coalesce((SELECT k FROM hk h WHERE h.team = a.team AND h.cue_key = a.cue_key AND h.cue_value = a.cue_value AND h.week = a.week AND h.outcome = d.outcome), 0) AS hits,
- (SELECT coalesce(sum(k), 0) FROM hk h WHERE h.team = a.team AND h.cue_key = a.cue_key AND h.cue_value = a.cue_value AND h.week < a.week AND h.outcome = d.outcome) AS own_k,
- (SELECT coalesce(sum(k), 0) FROM ak h WHERE h.cue_key = a.cue_key AND h.cue_value = a.cue_value AND h.week < a.week AND h.outcome = d.outcome) AS all_k FROM a, dims d),
-t AS (SELECT *, own_k / own_n AS rate, (all_k - own_k) / (all_n - own_n) AS peer FROM c WHERE abs(own_k / own_n - (all_k - own_k) / (all_n - own_n)) >= 0.1),
-o AS (SELECT team, cue_key, cue_value, outcome, sum(n)::BIGINT AS trials, sum(hits)::BIGINT AS hits, min(week)::BIGINT AS first_week, arg_max(rate, week) AS claimed_rate, arg_max(peer, week) AS peer_rate FROM t GROUP BY ALL),
-v AS (SELECT *, greatest(0, ((hits / trials) + {Z} * {Z} / (2 * trials)) / (1 + {Z} * {Z} / trials) - {Z} / (1 + {Z} * {Z} / trials) * sqrt(hits / trials * (1 - hits / trials) / trials + {Z} * {Z} / (4.0 * trials * trials))) AS low, least(1, ((hits / trials) + {Z} * {Z} / (2 * trials)) / (1 + {Z} * {Z} / trials) + {Z} / (1 + {Z} * {Z} / trials) * sqrt(hits / trials * (1 - hits / trials) / trials + {Z} * {Z} / (4.0 * trials * trials))) AS high FROM o),
-held AS (SELECT team, cue_key, cue_value, outcome, trials, hits, first_week, claimed_rate, peer_rate, trials >= 5 AND CASE WHEN claimed_rate >= peer_rate THEN low > peer_rate ELSE high < peer_rate END AS held_up FROM v)"""
-
-
-@query(FOLDS + " SELECT team, cue_key, cue_value, outcome, trials, hits, first_week, round(claimed_rate, 6) AS claimed_rate, round(peer_rate, 6) AS peer_rate, held_up FROM held")
-def forward_validation(spark, d):
-    """JOIN-10, JOIN-26, WIN-15, TRAP-25, TRAP-26."""
-    return longs(rounded(_folds(spark, d)), "first_week")
+    """SRT-01, SRT-02, TRAP-10: without recency."""
+    found = mining.mine(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES, None, UNWEIGHTED)
+    return longs(found.select("team", "cue_key", "cue_value", "outcome", "score", "rank"), "rank")
+
+
+@query(f"WITH {tells_sql(ONCE, 0.02, 25)}, c AS (SELECT team, count(*) AS n_tests FROM t GROUP BY team), k AS (SELECT team, count(*) AS n_tells FROM tells GROUP BY team) SELECT team, count(*) AS n_plays, any_value(coalesce(n_tests, 0)) AS n_tests, any_value(coalesce(n_tests, 0)) AS n_significant, any_value(coalesce(n_tells, 0)) AS n_tells, NULL::VARCHAR AS note FROM lc LEFT JOIN c USING (team) LEFT JOIN k USING (team) GROUP BY team")
+def mining_report(spark, d):
+    """OP-09: what was tested and found by team."""
+    return mining.mining_summary(cue_table(spark, d), "team", "outcome", CUES, PRIORITIES, "week", SHOWN)
+
+
+FORWARD = f"""WITH {tells_sql(FOLDED, 0.02, 25)},
+played AS (SELECT DISTINCT team, week AS fold FROM lc), tn AS (SELECT team, cue_key, cue_value, week AS fold, sum(c) AS n FROM wk GROUP BY ALL),
+tried AS (SELECT t.*, coalesce(n.n, 0) AS test_n, coalesce(h.c, 0) AS test_hits FROM tells t JOIN played USING (team, fold) LEFT JOIN tn n ON n.team = t.team AND n.fold = t.fold AND n.cue_key = t.cue_key AND n.cue_value = t.cue_value LEFT JOIN wk h ON h.team = t.team AND h.week = t.fold AND h.cue_key = t.cue_key AND h.cue_value = t.cue_value AND h.outcome = t.outcome),
+v AS (SELECT team, cue_key, cue_value, outcome, sum(test_n)::BIGINT AS trials, sum(test_hits)::BIGINT AS hits, count(*) FILTER (test_n > 0) AS folds, min(fold)::BIGINT AS first_week, coalesce(arg_max(shrunk_rate, fold) FILTER (test_n > 0), arg_min(shrunk_rate, fold)) AS mined_rate, coalesce(arg_max(expected_rate, fold) FILTER (test_n > 0), arg_min(expected_rate, fold)) AS expected_rate FROM tried GROUP BY ALL),
+w AS (SELECT *, CASE WHEN mined_rate >= expected_rate THEN 1 ELSE -1 END AS direction, CASE WHEN trials > 0 THEN hits / trials END AS holdout_rate FROM v),
+b AS (SELECT *, greatest(0, (holdout_rate + {Z} * {Z} / (2 * trials) - {Z} * sqrt(holdout_rate * (1 - holdout_rate) / trials + {Z} * {Z} / (4.0 * trials * trials))) / (1 + {Z} * {Z} / trials)) AS low, least(1, (holdout_rate + {Z} * {Z} / (2 * trials) + {Z} * sqrt(holdout_rate * (1 - holdout_rate) / trials + {Z} * {Z} / (4.0 * trials * trials))) / (1 + {Z} * {Z} / trials)) AS high FROM w),
+held AS (SELECT *, trials >= 5 AND CASE WHEN direction > 0 THEN low > expected_rate ELSE high < expected_rate END AS held_up FROM b)"""
 
 
 def _folds(spark, d):
-    return mining.forward_validation(cue_table(spark, d), "team", "outcome", "week", CUES, PRIORITIES, first=8)
+    return mining.forward_validation(cue_table(spark, d), "team", "outcome", "week", CUES, PRIORITIES, SHOWN)
 
 
-@query(FOLDS + " SELECT claimed_rate >= peer_rate AS raises, count(*) AS tells, round(sum(hits) / sum(trials), 6) AS hit_rate, round(sum(peer_rate * trials) / sum(trials), 6) AS expected_rate, round((count(*) FILTER (trials >= 5 AND held_up)) / (count(*) FILTER (trials >= 5)), 6) AS survival FROM held GROUP BY 1")
+@query(FORWARD + " SELECT team, cue_key, cue_value, outcome, trials, hits, folds, first_week, round(mined_rate, 6) AS mined_rate, round(expected_rate, 6) AS expected_rate, direction, round(holdout_rate, 6) AS holdout_rate, round((mined_rate - holdout_rate) * direction, 6) AS shrinkage, held_up FROM held")
+def forward_validation(spark, d):
+    """JOIN-10, JOIN-26, WIN-15, TRAP-25, TRAP-26: mined again on all weeks before each."""
+    return rounded(_folds(spark, d))
+
+
+@query(FORWARD + " SELECT team, direction, count(*) AS tells, round(CASE WHEN sum(trials) > 0 THEN sum(hits) / sum(trials) END, 6) AS hit_rate, round(CASE WHEN sum(trials) > 0 THEN sum(expected_rate * trials) / sum(trials) END, 6) AS expected_rate, round(CASE WHEN count(*) FILTER (trials >= 5) > 0 THEN (count(*) FILTER (trials >= 5 AND held_up)) / (count(*) FILTER (trials >= 5)) END, 6) AS survival FROM held GROUP BY team, direction")
 def pooled_validation(spark, d):
     """AGG-23."""
-    return rounded(mining.pooled_validation(_folds(spark, d)))
+    return rounded(mining.pooled_validation(_folds(spark, d), ["team"]))
 
 
-@query(f"WITH {LC}, k AS (SELECT team, outcome, count(*) AS n FROM lc GROUP BY team, outcome), m AS (SELECT team, outcome, n / sum(n) OVER (PARTITION BY team) AS rate FROM k), f AS (SELECT team, CASE WHEN outcome IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS family, sum(rate) AS share FROM m GROUP BY 1, 2) SELECT team, family, round(share, 6) AS share, round(share - avg(share) OVER (PARTITION BY family), 6) AS delta FROM f")
+@query(f"WITH {LC}, k AS (SELECT team, outcome, count(*) AS n FROM lc GROUP BY team, outcome), m AS (SELECT team, outcome, n / sum(n) OVER (PARTITION BY team) AS rate, sum(n) OVER (PARTITION BY team) AS whole FROM k), f AS (SELECT team, CASE WHEN outcome IN ('1-URGENT', '2-HIGH') THEN 'fast' ELSE 'slow' END AS family, sum(rate) AS share, max(whole) AS n FROM m GROUP BY 1, 2) SELECT team, family, round(share, 6) AS share, round(share - sum(share * n) OVER (PARTITION BY family) / sum(n) OVER (PARTITION BY family), 6) AS delta FROM f")
 def family_split(spark, d):
     """AGG-44, FN-ARR-11."""
     mix = rates.outcome_mix(cue_table(spark, d), "team", "outcome", PRIORITIES, F.lit(1.0))
@@ -249,8 +286,6 @@ def evidence_counts(spark, d):
 @query("WITH c AS (SELECT o_orderpriority AS outcome, count(*) AS n FROM orders GROUP BY ALL), w AS (SELECT outcome, n, sqrt(sum(n) OVER () / greatest(n, 1)) AS w FROM c) SELECT outcome, n, round(w / avg(w) OVER (), 6) AS weight FROM w")
 def class_weights(spark, d):
     """AGG-32, AGG-33."""
-    from pyspark.sql.window import Window
-
     counts = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy()  # one row per class
     w = F.sqrt(F.sum("n").over(everything) / F.greatest("n", F.lit(1)))

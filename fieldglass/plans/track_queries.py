@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import mining, models, rates, tracks
-from .tables import CUES, cue_table, query, rounded, table
+from .rate_queries import FORWARD, ONCE, SHOWN, tells_sql
+from .tables import CUES, PRIORITIES, cue_table, longs, query, rounded, table
 
 
 @query()
@@ -42,12 +43,10 @@ def embedding_clusters(spark, d):
     return models.cluster(table(spark, d, "embeddings"), "embedding", 4).groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(FORWARD + f", once AS (WITH {tells_sql(ONCE, 0.02, 25)} SELECT * FROM tells) SELECT o.team, o.cue_key, o.cue_value, o.outcome, o.score, o.rank, trials, hits, round(holdout_rate, 6) AS holdout_rate, held_up, CASE WHEN trials IS NULL THEN 'untested' WHEN held_up THEN 'held' ELSE 'faded' END AS status, CASE WHEN trials IS NULL THEN 'not yet tested out of sample' ELSE 'held on ' || hits || ' of ' || trials || ' snaps since it was found' END AS evidence_line FROM once o LEFT JOIN (SELECT * FROM held WHERE trials > 0) h USING (team, cue_key, cue_value, outcome)")
 def validated_tells(spark, d):
     """JOIN-07: mined cells with what later weeks say of them."""
     lc = cue_table(spark, d)
-    params = mining.MiningParams(alpha=1.01, least_lift=0.02)
-    classes = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-    tells = mining.mine(lc, "team", "outcome", CUES, classes, None, params)
-    found = mining.forward_validation(lc, "team", "outcome", "week", CUES, classes, first=8)
-    return mining.attach_validation(tells, found, ["team", "cue_key", "cue_value", "outcome"])
+    tells = mining.mine(lc, "team", "outcome", CUES, PRIORITIES, "week", SHOWN).select("team", "cue_key", "cue_value", "outcome", "score", "rank")
+    found = mining.forward_validation(lc, "team", "outcome", "week", CUES, PRIORITIES, SHOWN)
+    return longs(rounded(mining.attach_validation(tells, found, ["team", "cue_key", "cue_value", "outcome"])), "rank")
