@@ -41,7 +41,7 @@ class JoinParams:
     words: int = 5
     percent: int = 80
     bucket: int = 8_000_000
-    worth: int = 10
+    worth: int = 50
 
 
 #: Bytes of text whose shingles are packed together.
@@ -99,7 +99,7 @@ def _wide(raw: np.ndarray, width: int) -> np.ndarray:
 
 
 def _packed_shingles(docs: DataFrame, text: str, buckets: int, params: JoinParams) -> DataFrame:
-    """bucket and payload: classes (s1, s2, n), sorted shingles as differences of 6 or 8 bytes, and the class of each."""
+    """bucket and payload: classes (s1, s2, n), sorted shingles without their bucket, as differences of as few bytes as the largest needs, and the class of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,7 +116,7 @@ def _packed_shingles(docs: DataFrame, text: str, buckets: int, params: JoinParam
                 h = np.concatenate([sets[i] for i in first])
                 of = np.repeat(np.arange(len(first), dtype=np.int32), size[first])
                 del sets
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
+                bucket, h = (h % np.uint64(buckets)).astype(np.int64), h // np.uint64(buckets)
                 order = np.lexsort((h, bucket))
                 h, of, bucket = h[order], of[order], bucket[order]
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -125,7 +125,7 @@ def _packed_shingles(docs: DataFrame, text: str, buckets: int, params: JoinParam
                     own, cls = h[cuts[k] : cuts[k + 1]], of[cuts[k] : cuts[k + 1]]
                     used, cls = np.unique(cls, return_inverse=True)
                     steps = np.diff(own, prepend=np.uint64(0))
-                    width = 6 if int(steps.max()) < 1 << 48 else 8
+                    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
                     kind = np.uint16 if len(used) < 1 << 16 else np.int32
                     src = first[used]
                     ids.append(k)
