@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi_square_tail
-from .common import drop_written, table, written
+from .common import drop_written, release, table, written
 
 #: White space, and the symbols that count.
 SPACES = " \t\n\x0b\x0c\r"
@@ -67,7 +67,10 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-#: Transformed statistics, over the base counts.
+#: Transformed statistics, over the base counts, and the least variance of each that counts as ordinary: where hardly any text has a repeated line, one such line is still no outlier.
+FLOORS = (0.05, 0.01, 0.02, 0.1, 0.01)
+
+
 def transformed() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return [
@@ -83,35 +86,43 @@ def _pairs(d: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(d) for j in range(i + 1)]
 
 
-def _moments(rows: DataFrame, by: list[str], d: int) -> DataFrame:
-    """Count, means and covariances of x0.. by group: partial sums, one row per group."""
-    aggs = [F.count(F.lit(1)).alias("n"), *(F.avg(f"x{i}").alias(f"m{i}") for i in range(d)), *(F.covar_pop(f"x{i}", f"x{j}").alias(f"c{i}{j}") for i, j in _pairs(d))]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+def _moments(rows: DataFrame, by: list[str], centres: DataFrame, d: int) -> DataFrame:
+    """Means m0.. and covariances c00.. by group, of rows that hold their differences d0.. to the group's centre m0..: partial sums, one row per group."""
+    sums = rows.groupBy(*by).agg(*(F.avg(f"d{i}").alias(f"a{i}") for i in range(d)), *(F.avg(F.col(f"d{i}") * F.col(f"d{j}")).alias(f"p{i}{j}") for i, j in _pairs(d)))
+    both = sums.join(centres.select(*by, *(F.col(f"m{i}").alias(f"o{i}") for i in range(d))), by)
+    return both.select(*by, *((F.col(f"o{i}") + F.col(f"a{i}")).alias(f"m{i}") for i in range(d)), *((F.col(f"p{i}{j}") - F.col(f"a{i}") * F.col(f"a{j}")).alias(f"c{i}{j}") for i, j in _pairs(d)))
+
+
+def _triangle(d: int, step: Callable[[Column, Column, Column, Callable[[Column, Callable], Column]], Column]) -> Column:
+    """The entries of a lower triangle, row by row; step gives one from the place (i, j), those before it, and a sum over k < upto."""
+
+    def total(upto: Column, term: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.filter(F.array(*(F.lit(k) for k in range(d))), lambda k: k < upto), F.lit(0.0), lambda s, k: s + term(k))
+
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _pairs(d)))
+    return F.aggregate(places, F.array().cast("array<double>"), lambda done, q: F.concat(done, F.array(step(q["i"], q["j"], done, total))))
+
+
+def _at(i: Column, j: Column) -> Column:
+    """Where a lower triangle that lies row by row has (i, j)."""
+    return (i * (i + 1) / 2).cast("int") + j
+
 
+def _with_factor(estimates: DataFrame, d: int, floors: list[float], ridge: float) -> DataFrame:
+    """Adds __l, the Cholesky factor of c00.., and __k, its inverse, as arrays; a floor on each variance keeps it regular."""
+    c, least = F.array(*(F.col(f"c{i}{j}") for i, j in _pairs(d))), F.array(*(F.lit(float(x)) for x in floors))
 
-def _factored(estimates: DataFrame, d: int, floors: list[float], ridge: float) -> DataFrame:
-    """Replaces covariances by the entries of their Cholesky factor; a floor on each variance keeps it regular."""
-    out = estimates
-    for i in range(d):
-        for j in range(i + 1):
-            total = F.col(f"c{i}{j}")
-            if i == j:
-                total = total * (1 + ridge) + F.lit(floors[i])
-            for k in range(j):
-                total = total - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(total, F.lit(floors[i]))) if i == j else total / F.col(f"l{j}{j}"))
-    return out
+    def factor(i, j, done, total):
+        rest = F.get(c, _at(i, j)) - total(j, lambda k: F.get(done, _at(i, k)) * F.get(done, _at(j, k)))
+        return F.when(i == j, F.sqrt(F.greatest(rest + F.get(c, _at(i, i)) * ridge + F.get(least, i), F.get(least, i)))).otherwise(rest / F.get(done, _at(j, j)))
 
+    def inverse(i, j, done, total):
+        l = F.col("__l")  # noqa: E741
+        # sums over j <= k < i
+        rest = total(i, lambda k: F.when(k >= j, F.get(l, _at(i, k)) * F.get(done, _at(k, j))).otherwise(0.0))
+        return (F.when(i == j, 1.0).otherwise(0.0) - rest) / F.get(l, _at(i, i))
 
-def _distance(d: int) -> list[tuple[str, Column]]:
-    """Forward substitution, column by column; the sum of squares is the squared Mahalanobis distance."""
-    steps = []
-    for i in range(d):
-        total = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            total = total - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        steps.append((f"y{i}", total / F.col(f"l{i}{i}")))
-    return steps
+    return estimates.withColumn("__l", _triangle(d, factor)).withColumn("__k", _triangle(d, inverse))
 
 
 def chi_square_quantile(p_above: float, df: int) -> float:
@@ -137,10 +148,10 @@ def _starts(rows: DataFrame, by: list[str], d: int, floors: list[float], sent: C
     centre = written(centre, "centre")
     names = [*by, "__start", *(f"m{i}" for i in range(d)), *(f"c{i}{j}" for i, j in _pairs(d))]
     plain = centre.withColumn("__start", F.lit(0)).withColumns({f"c{i}{j}": F.col(f"v{i}") if i == j else F.lit(0.0) for i, j in _pairs(d)})
-    whole = _moments(rows, by, d).withColumn("__start", F.lit(1))
-    away = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(f"v{i}") for i in range(d)]
-    length = F.greatest(sum((a * a for a in away), F.lit(0.0)), F.lit(1e-12))
-    signs = rows.join(sent(centre), by).select(*by, *(a.alias(f"u{i}") for i, a in enumerate(away)), length.alias("r"))
+    apart = rows.join(sent(centre), by).withColumns({f"d{i}": F.col(f"x{i}") - F.col(f"m{i}") for i in range(d)})
+    whole = _moments(apart, by, centre, d).withColumn("__start", F.lit(1))
+    away = {f"u{i}": F.col(f"d{i}") / F.sqrt(f"v{i}") for i in range(d)}
+    signs = apart.select(*by, *(u.alias(n) for n, u in away.items())).withColumn("r", F.greatest(sum((F.col(n) * F.col(n) for n in away), F.lit(0.0)), F.lit(1e-12)))
     shares = signs.groupBy(*by).agg(*(F.avg(F.col(f"u{i}") * F.col(f"u{j}") / F.col("r")).alias(f"s{i}{j}") for i, j in _pairs(d)))
     turned = shares.join(centre, by).withColumn("__start", F.lit(2)).withColumns({f"c{i}{j}": d * F.col(f"s{i}{j}") * F.sqrt(F.col(f"v{i}") * F.col(f"v{j}")) for i, j in _pairs(d)})
     return plain.select(names).unionByName(whole.select(names)).unionByName(turned.select(names))
@@ -151,32 +162,34 @@ def robust_distances(rows: DataFrame, by: list[str], d: int, floors: list[float]
     # few enough groups go to every task, so that a hot group's rows need not meet in one; beyond that Spark joins by shuffle and splits what is skewed
     groups = rows.select(*by).distinct().limit(params.most_sent + 1).count()
     sent = F.broadcast if groups <= params.most_sent else (lambda df: df)
-    spread = [*(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i, j in _pairs(d))]
+    spread = [*(f"m{i}" for i in range(d)), *(f"k{i}{j}" for i, j in _pairs(d))]
     keys = [*by, "__start"]
 
     def factored(estimates: DataFrame) -> DataFrame:
-        """Estimates with the factor of their covariance, and the logarithm of its determinant."""
-        return _factored(estimates, d, floors, params.ridge).withColumn("__det", sum((2 * F.log(f"l{i}{i}") for i in range(d)), F.lit(0.0))).select(*keys, *spread, "__det")
+        """Estimates with the inverted factor of their covariance, and the logarithm of its determinant."""
+        found = _with_factor(estimates, d, floors, params.ridge)
+        det = sum((2 * F.log(F.get("__l", _pairs(d).index((i, i)))) for i in range(d)), F.lit(0.0))
+        return found.select(*keys, *(f"m{i}" for i in range(d)), *(F.get("__k", n).alias(f"k{i}{j}") for n, (i, j) in enumerate(_pairs(d))), det.alias("__det"))
 
     def measured(estimates: DataFrame) -> DataFrame:
-        out = rows.join(sent(estimates), by)
-        for name, step in _distance(d):
-            out = out.withColumn(name, step)
-        return out.withColumn("distance2", sum((F.pow(f"y{i}", 2) for i in range(d)), F.lit(0.0)))
+        apart = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(d)]
+        steps = [sum((F.col(f"k{i}{j}") * apart[j] for j in range(1, i + 1)), F.col(f"k{i}0") * apart[0]) for i in range(d)]
+        return rows.join(sent(estimates), by).withColumn("distance2", sum((y * y for y in steps[1:]), steps[0] * steps[0]))
 
     now = written(factored(_starts(rows, by, d, floors, sent)).withColumns({"__det": F.lit(float("inf")), "__moves": F.lit(True)}), "mcd")
     while True:
         moving = now.filter("__moves")
-        near = measured(moving.select(*keys, *spread)).select(*keys, *(f"x{i}" for i in range(d)), "distance2")
+        near = measured(moving.select(*keys, *spread)).select(*keys, *((F.col(f"x{i}") - F.col(f"m{i}")).alias(f"d{i}") for i in range(d)), "distance2")
         limit = near.groupBy(*keys).agg(F.percentile_approx("distance2", F.lit(params.share), 10_000).alias("__limit"))
         inner = near.join(sent(limit), keys).filter(F.col("distance2") <= F.col("__limit"))
-        better = factored(_moments(inner, keys, d)).withColumnRenamed("__det", "__new")
+        better = factored(_moments(inner, keys, moving, d)).withColumnRenamed("__det", "__new")
         # a fall below the tolerance ends a start; its better estimate of the two stays
         step = moving.select(*keys, "__det").join(better, keys).withColumn("__moves", F.col("__new") < F.col("__det") + math.log1p(-params.fall))
         lower = step.filter("__new < __det").select(*keys, *spread, F.col("__new").alias("__det"), "__moves")
         before = now
         now = written(lower.unionByName(before.join(lower.select(keys), keys, "left_anti").withColumn("__moves", F.lit(False))), "mcd")
         drop_written(before)
+        release(rows.sparkSession)
         if now.filter("__moves").isEmpty():
             break
     best = now.groupBy(*by).agg(F.min(F.struct("__det", "__start", *spread)).alias("e")).select(*by, *(F.col(f"e.{c}").alias(c) for c in spread))
@@ -214,11 +227,10 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", text: str = "text", by:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = written(counts.withColumn("base_failed", failed), "counts")
     stats = transformed()
-    floors = [0.05, 0.01, 0.02, 0.02, 0.002]
     rows = counts.withColumns({f"x{i}": s.cast("double") for i, s in enumerate(stats)})
     groups = [f"g{i}" for i in range(len(by))]
     passing = rows.filter(~F.col("base_failed")).select(key, *groups, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"x{i}" for i in range(len(stats))))
-    judged = robust_distances(_levels(passing, groups, params), ["__level", *groups], len(stats), floors, params).filter("__own")
+    judged = robust_distances(_levels(passing, groups, params), ["__level", *groups], len(stats), list(FLOORS), params).filter("__own")
     final = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     good = judged.select(key, *final, "distance2", (F.col("distance2") <= chi_square_quantile(params.level, len(stats))).alias("kept"))
     bad = rows.filter("base_failed").select(key, *final, F.lit(None).cast("double").alias("distance2"), F.lit(False).alias("kept"))
