@@ -20,6 +20,13 @@ if not hasattr(_LIBC, "malloc_trim"):
     _LIBC = None
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A name, and with it a prefix, that no column has."""
+    while any(c.lower().startswith(name.lower()) for c in taken):
+        name = "_" + name
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     share_path(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

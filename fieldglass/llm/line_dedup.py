@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import release, table, written
+from .common import fresh, release, table, written
 
 
 @dataclass(frozen=True)
@@ -168,13 +168,14 @@ def cut_lines(text: str, runs: list[tuple[int, int]]) -> str:
 
 def dedupe_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", params: LineParams = LineParams()) -> DataFrame:
     """docs with repeated runs cut from their texts; every row stays, with an empty text if all of it was a repeat."""
-    runs = repeated_runs(docs, key, text, params).filter("runs is not null").select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs")).dropDuplicates(["__doc"])
-    joined = docs.join(runs, docs[key] == F.col("__doc"), "left").drop("__doc")
+    doc, cut = fresh("__doc", docs.columns), fresh("__runs", docs.columns)
+    runs = repeated_runs(docs, key, text, params).filter("runs is not null").groupBy(F.col("doc").alias(doc)).agg(F.min("runs").alias(cut))
+    joined = docs.join(runs, docs[key] == runs[doc], "left").drop(doc)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() if not r.is_valid or not t.is_valid else cut_lines(t.as_py(), [(x["first"], x["last"]) for x in r.as_py()]) for t, r in zip(batch.column(text), batch.column("__runs"), strict=True)]
-            names = [c for c in batch.schema.names if c != "__runs"]
+            texts = [t.as_py() if not r.is_valid or not t.is_valid else cut_lines(t.as_py(), [(x["first"], x["last"]) for x in r.as_py()]) for t, r in zip(batch.column(text), batch.column(cut), strict=True)]
+            names = [c for c in batch.schema.names if c != cut]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names)
 
     return joined.mapInArrow(run, docs.schema)

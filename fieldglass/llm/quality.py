@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytescan
-from .common import bounded_sample, crc_mod, table
+from .common import bounded_sample, crc_mod, fresh, table
 from .trees import bin_columns, fit_tree
 
 #: Names of the statistics, in the order of text_statistics.
@@ -173,21 +173,34 @@ def fit_rules(x: np.ndarray, y: np.ndarray, params: QualityParams = QualityParam
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), key: str = "doc_id", text: str = "text", label: str = "quality", prefix: str = "stat_") -> RuleEnsemble:
-    """docs: key and text; labels: key and label of rows that training may see. Statistics are taken of sampled rows only."""
+    """docs: key and text; labels: key and label of rows that training may see. Statistics are taken of sampled rows only.
+
+    Of several labels of a document the least counts, of several texts the first by order.
+    """
     names = [prefix + s for s in STATISTICS]
-    marked = {r[key]: r[label] for r in bounded_sample(labels.filter(F.col(label).isin(0, 1)).select(key, label), key, params.train_rows, labels)}
+    once = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).alias(label))
+    marked = {r[key]: r[label] for r in bounded_sample(once, key, params.train_rows, labels)}
     if not marked:
         return fit_rules(np.zeros((0, len(names))), np.zeros(0), params)
     # at most train_rows ids: small enough to send to every task
     chosen = docs.sparkSession.createDataFrame([(k,) for k in marked], labels.select(key).schema)
-    rows = with_statistics(docs.select(key, text).join(F.broadcast(chosen), key)).select(key, *names).dropDuplicates([key]).orderBy(key).collect()
+    texts = docs.select(key, text).join(F.broadcast(chosen), key).groupBy(key).agg(F.min(text).alias(text))
+    rows = with_statistics(texts, text, prefix).select(key, *names).orderBy(key).collect()
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(names))
     return fit_rules(x, np.array([marked[r[key]] for r in rows], float), params)
 
 
-def score_quality(docs: DataFrame, model: RuleEnsemble, score: str = "score") -> DataFrame:
+def score_quality(docs: DataFrame, model: RuleEnsemble, score: str = "score", text: str = "text") -> DataFrame:
     """docs with the score added in place of any column of that name."""
-    return with_statistics(docs.drop(score)).withColumn(score, model.column()).drop(*("stat_" + s for s in STATISTICS))
+    kept = [c for c in docs.columns if c != score]
+    prefix = fresh("stat_", docs.columns)
+    return with_statistics(docs.select(*kept), text, prefix).select(*kept, model.column(prefix).alias(score))
+
+
+def drop_low_quality(docs: DataFrame, model: RuleEnsemble, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs whose score reaches `least`."""
+    prefix = fresh("stat_", docs.columns)
+    return with_statistics(docs, text, prefix).filter(model.column(prefix) >= least).select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
