@@ -57,6 +57,21 @@ def test_near_duplicates_stage_keeps_one_of_each_group(spark, folder):
     assert kept == set(rows) - {201} - set(range(301, 330))
 
 
+def test_clashing_and_missing_columns(spark, folder, tmp_path):
+    from pyspark.sql import functions as F
+
+    where, rows, _ = folder
+    names = ("__runs", "__doc", "__nth", "stat_log_words", "_stat_x", "score", "runs", "doc", "component_id", "n", "t", "k", "piece_ids")
+    docs = spark.read.parquet(f"{where}/documents.parquet").drop("n_chars").withColumns({c: F.lit(c) for c in names})
+    docs = docs.union(docs.filter("doc_id = 7").withColumn("text", F.lit("A different and second text of one id."))).union(docs.filter("doc_id = 7").withColumn("doc_id", F.lit(None)).withColumn("text", F.lit(None).cast("string")))
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs.columns, corpus_pipeline.written(stage(spark, docs, where), name)
+        if name != "pieces":
+            assert docs.columns == before
+            assert docs.filter(" or ".join(f"`{c}` <> '{c}'" for c in names)).isEmpty()
+    assert docs.filter("doc_id = 7").count() == 1 and {r["doc_id"] for r in docs.select("doc_id").collect()} >= set(range(60))
+
+
 def test_empty_tables(spark, folder, tmp_path):
     where, _, _ = folder
     for name in ("documents", "labels", "benchmark", "pages"):
