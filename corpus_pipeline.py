@@ -3,39 +3,47 @@
 quality: documents that the rule ensemble scores under 0.5 go. lines: repeated runs of lines go from later texts; a
 text may become empty. near_duplicates: of each component of near copies the document with the smallest id stays.
 decontaminate: documents with a copy of a benchmark item, within its budget of edits, go. pieces: the rest is encoded.
-Rows with null ids or texts pass each stage unless its rule names them.
+
+Rows with null ids or texts pass each stage unless its rule names them. Repeated rows count as one document from the
+third stage on, the first by text and hash. Empty tables give empty results, without labels every text passes, ties are
+the operators' own. Texts are read whole, however long. Further columns pass, whatever their names; n_chars, where there
+is one, follows the text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from fieldglass.llm.common import crc_mod, table, written
+from fieldglass.llm.common import crc_mod, drop_written, fresh, table, written
 from fieldglass.llm.decontaminate import drop_leaks
 from fieldglass.llm.line_dedup import dedupe_lines
 from fieldglass.llm.ngram_join import jaccard_components
 from fieldglass.llm.pieces import piece_rows
-from fieldglass.llm.quality import score_quality, train_quality
+from fieldglass.llm.quality import drop_low_quality, train_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train_quality(docs, table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1))
-    return score_quality(docs, model, "__score").filter("__score >= 0.5").select(*docs.columns)
+    return drop_low_quality(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedupe_lines(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = dedupe_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(jaccard_components(docs), "components")
     copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty():
-        return kept
-    # rows that share an id are one document
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    # rows that share an id are one document: its first text by order stays, and of equal texts the row with the first hash
+    repeated = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    nth = fresh("__nth", docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
+    first = kept.join(repeated, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +62,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        drop_written(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
