@@ -152,6 +152,12 @@ def test_licenses(docs):
     assert scan_licenses(docs([])).count() == 0
 
 
+def test_license_at_the_exact_threshold(docs):
+    # two of two bigrams shared by three: a coefficient of 4 / 5
+    out = {r["doc_id"]: (r["license"], r["dice"]) for r in scan_licenses(docs([(1, "All rights reserved, all."), (2, "All rights reserved, all of")])).collect()}
+    assert out == {1: ("Proprietary", 0.8), 2: (None, 0.0)}
+
+
 def test_license_units_may_repeat_their_text(docs):
     rows = [(1, " ".join([TEMPLATES[4][1]] * 6)), (2, "Released under the MIT License. " * 500), (3, "Released under the MIT License and other words " * 500), (4, "intro\n" + " ".join([TEMPLATES[4][1]] * 40) + "\nend")]
     out = {r["doc_id"]: r for r in scan_licenses(docs(rows)).collect()}
