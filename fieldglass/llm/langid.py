@@ -4,7 +4,9 @@ The network is trained here, in numpy, by backpropagation through time: every by
 its document's language. A text is read whole, in windows of at most `window` bytes with a fresh state each; every
 position gets a distribution over languages, and a document's probabilities are the mean over its positions.
 
-Null texts and texts without a letter are `und` with score 0. Rows are independent: no shuffle after training.
+Null texts and texts without a letter are `und` with score 0. Of equally likely languages the first by name is named.
+Repeated rows and extra columns pass, lang_pred and score take the place of columns of those names; an empty table
+trains no network, and all is `und`. Rows are independent: no shuffle after training.
 """
 
 from __future__ import annotations
@@ -23,10 +25,9 @@ from .common import bounded_sample, crc_mod, table
 
 @dataclass(frozen=True)
 class LangParams:
-    """Training reads `train_rows` rows at most, and `train_chars` characters of each, from a place its id decides."""
+    """Training reads `train_rows` rows at most, whole; each step draws texts, and a window of `bptt` bytes anywhere in each."""
 
-    train_rows: int = 3000
-    train_chars: int = 400
+    train_rows: int = 2000
     window: int = 256
     hidden: int = 8
     bptt: int = 64
@@ -70,15 +71,17 @@ class BiGru:
         new += n
         return new, r, z, n, un
 
-    def train(self, windows: np.ndarray, labels: np.ndarray, params: LangParams) -> None:
-        """windows: (rows, bptt) bytes. Adam on the mean cross-entropy of all positions, classes weighted alike."""
+    def train(self, texts: list[np.ndarray], labels: np.ndarray, params: LangParams) -> None:
+        """texts: bytes, none empty. Adam on the mean cross-entropy of all positions, classes weighted alike."""
         rng = np.random.default_rng(params.seed + 1)
         p, h, c = self.p, self.hidden, len(self.languages)
         weight = len(labels) / (c * np.maximum(1, np.bincount(labels, minlength=c)))
         m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for it in range(params.steps):
             pick = rng.integers(0, len(labels), params.batch)
-            grads = self._gradients(windows[pick].T, labels[pick], weight[labels[pick]].astype(np.float32))
+            places = rng.random(params.batch)
+            windows = [np.resize(texts[k][int(f * max(1, len(texts[k]) - params.bptt + 1)) :][: params.bptt], params.bptt) for k, f in zip(pick, places, strict=True)]
+            grads = self._gradients(np.stack(windows).T, labels[pick], weight[labels[pick]].astype(np.float32))
             rate = params.rate * min(1, 2 * (1 - it / params.steps))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             for k, g in grads.items():
@@ -190,9 +193,14 @@ class BiGru:
         lo, hi = nth * sizes[row] // parts[row], (nth + 1) * sizes[row] // parts[row]
         order = np.argsort(-(hi - lo), kind="stable")
         starts, lengths, row = (offsets[row] + lo)[order], (hi - lo)[order], row[order]
-        found, _ = self.label(data, starts, lengths)
-        sums = [np.bincount(row, weights=found[k], minlength=rows) for k in range(len(self.languages))]
-        return np.stack(sums, axis=1) / np.maximum(1, sizes)[:, None]
+        # the positions of a block of windows hold 32 MB of probabilities at most
+        block = max(1, 8_000_000 // (window * len(self.languages)))
+        sums = np.zeros((len(self.languages), rows))
+        for at in range(0, len(row), block):
+            found, _ = self.label(data, starts[at : at + block], lengths[at : at + block])
+            for k in range(len(self.languages)):
+                sums[k] += np.bincount(row[at : at + block], weights=found[k], minlength=rows)
+        return sums.T / np.maximum(1, sizes)[:, None]
 
     def positions(self, text: str, window: int) -> list[str]:
         """The label of every byte of a text."""
@@ -211,23 +219,13 @@ class BiGru:
 
 def train_language_model(labelled: DataFrame, params: LangParams = LangParams(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> BiGru | None:
     """A network from a bounded sample of rows with text and language; None without any."""
-    chars = params.train_chars
-    place = 1 + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("place")), F.greatest(F.length(text) - chars, F.lit(1)))
-    rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, lang, F.substring(F.col(text), place.cast("int"), F.lit(chars)).alias("piece")), key, params.train_rows, labelled)
+    rows = bounded_sample(labelled.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(key, lang, text), key, params.train_rows, labelled)
     if not rows:
         return None
     languages = sorted({r[lang] for r in rows})
-    windows, labels = [], []
-    for r in rows:
-        data = np.frombuffer(r["piece"].encode(), np.uint8)
-        for at in range(0, max(1, len(data) - params.bptt + 1), params.bptt):
-            part = data[at : at + params.bptt]
-            if len(part):
-                windows.append(np.resize(part, params.bptt))
-                labels.append(languages.index(r[lang]))
     model = BiGru(languages, params.hidden, params.seed)
     if len(languages) > 1:
-        model.train(np.stack(windows), np.array(labels), params)
+        model.train([np.frombuffer(r[text].encode(), np.uint8) for r in rows], np.array([languages.index(r[lang]) for r in rows]), params)
     return model
 
 
