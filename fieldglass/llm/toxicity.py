@@ -4,7 +4,8 @@ A text is toxic if any of its distinct tokens is (noisy-or): P = 1 - exp(-sum so
 score is the sum of hashed weights of itself, its beginnings and its character 4-grams. Training sees confirmed toxic texts and
 unlabelled texts only, and lowers the class-prior-corrected risk  pi E_p[1 - P] + max(0, E_u[P] - pi E_p[P]).
 
-Null and empty texts score 0. Rows are independent: no shuffle after training.
+Null and empty texts score 0. Repeated rows and extra columns pass, ties do not arise; without labels or texts nothing
+is learned and every score is near 0. Rows are independent: no shuffle after training.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ _TRIM = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 
 @dataclass(frozen=True)
 class ToxicParams:
-    """Training reads `positives` toxic and `unlabelled` other rows at most, of at most `train_chars` characters each (longer texts are scored, not learned from)."""
+    """Training reads `positives` toxic and `unlabelled` other rows at most, whole. prior: the class prior, estimated where
+    None; margin: standard errors of the labelled share that it is taken to be too low, as a low prior costs far more."""
 
     positives: int = 1500
-    unlabelled: int = 4000
-    train_chars: int = 8000
+    unlabelled: int = 3000
+    prior: float | None = None
+    margin: float = 3.0
     log2_weights: int = 18
     steps: int = 160
     rate: float = 0.25
@@ -134,14 +137,25 @@ def train_toxic_model(positive: list[str], unlabelled: list[str], prior: float,
     return model
 
 
+def class_prior(confirmed: int, labelled: int, margin: float) -> float:
+    """The share of toxic texts, from confirmed ones among all that were looked at, at the upper end of its error."""
+    share = confirmed / max(1, labelled)
+    return min(0.5, share + margin * float(np.sqrt(share * (1 - share) / max(1, labelled))))
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicModel:
-    """docs: unlabelled texts; labels: key and label of rows that training may see. The class prior is the share of 1 among the labels."""
-    prior = labels.agg(F.avg(F.col(label).cast("double"))).first()[0] or 0.0
-    sized = docs.select(key, text).filter(F.length(text).between(1, params.train_chars))
-    confirmed = [r[key] for r in bounded_sample(labels.filter(F.col(label) == 1).select(key).distinct(), key, params.positives, labels)]
-    positive = [r[text] for r in sized.filter(F.col(key).isin(confirmed)).orderBy(key).limit(params.positives).collect()] if confirmed else []
+    """docs: unlabelled texts; labels: key and label of rows that training may see. A document counts as toxic if any of its labels says so.
+
+    Of negative labels only their number is used, for the class prior; negative texts are never learned from as such.
+    """
+    once = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
+    n, n_toxic = once.agg(F.count(F.lit(1)), F.count_if(F.col(label) == 1)).first()
+    prior = params.prior if params.prior is not None else class_prior(n_toxic, n, params.margin)
+    sized = docs.select(key, text).filter(F.length(text) > 0)
+    confirmed = [r[key] for r in bounded_sample(once.filter(F.col(label) == 1).select(key), key, params.positives, labels)]
+    positive = [r[text] for r in sized.filter(F.col(key).isin(confirmed)).groupBy(key).agg(F.min(text).alias(text)).orderBy(key).collect()] if confirmed else []
     unlabelled = [r[text] for r in bounded_sample(sized, key, params.unlabelled, docs)]
-    return train_toxic_model(positive, unlabelled, float(prior), params)
+    return train_toxic_model(positive, unlabelled, prior, params)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text: str = "text") -> DataFrame:
