@@ -2,12 +2,14 @@
 
 The trees learn from the URLs that a rule judges: length, depth, digit ratio, entropy, parameter counts and smoothed
 block rates of the host's suffixes. Null and malformed URLs have an empty host and path, fit no rule and are judged
-by the trees; without any labelled URL everything unruled is allowed. Rows are independent: no shuffle.
+by the trees; without any labelled URL everything unruled is allowed. A score of 0.5 blocks. Repeated rows and rules of
+equal length (the later one wins) are judged alike, extra columns go, empty tables give none. No shuffle.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,13 +33,14 @@ RULES = (
 
 @dataclass(frozen=True)
 class UrlParams:
-    """train_rows bounds the labelled URLs that training reads, and with them the suffix table."""
+    """train_rows bounds the labelled URLs that training reads, and with them the suffix table; folds: of hosts, for suffix rates."""
 
     train_rows: int = 20_000
     trees: int = 40
     depth: int = 3
     rate: float = 0.3
     prior: float = 8.0
+    folds: int = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -103,15 +106,24 @@ def train_url_model(labelled: DataFrame, params: UrlParams = UrlParams(), key: s
         return None
     y = np.array([r["label"] for r in rows], float)
     base = float(y.mean())
-    seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-    for r in rows:
-        for s in suffixes(r["host"]):
-            seen[s][0] += r["label"]
-            seen[s][1] += 1
-    model = UrlModel(Boosted(0.0, 0.0, []), base, {s: (a + params.prior * base) / (n + params.prior) for s, (a, n) in seen.items()})
-    x = model.features([r["url"] for r in rows], [r["host"] for r in rows], [r["path"] for r in rows])
-    model.trees = boost(x, y, params.trees, params.depth, params.rate)
-    return model
+    urls, hosts, paths = ([r[c] for r in rows] for c in ("url", "host", "path"))
+
+    def rates(some: np.ndarray) -> dict[str, float]:
+        seen: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for k in some:
+            for s in suffixes(hosts[k]):
+                seen[s][0] += y[k]
+                seen[s][1] += 1
+        return {s: (a + params.prior * base) / (n + params.prior) for s, (a, n) in seen.items()}
+
+    # a URL's suffix rates come from other hosts' folds, so that they do not tell its own label
+    fold = np.array([zlib.crc32(h.encode()) % params.folds for h in hosts])
+    x = np.zeros((len(rows), 13))
+    for f in range(params.folds):
+        own = np.flatnonzero(fold == f)
+        part = UrlModel(Boosted(0.0, 0.0, []), base, rates(np.flatnonzero(fold != f)))
+        x[own] = part.features([urls[k] for k in own], [hosts[k] for k in own], [paths[k] for k in own])
+    return UrlModel(boost(x, y, params.trees, params.depth, params.rate), base, rates(np.arange(len(rows))))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, params: UrlParams = UrlParams(), key: str = "page_id", url: str = "url") -> DataFrame:
