@@ -12,8 +12,38 @@ from pyspark.sql import functions as F
 from ..functions.geometry import right_open
 
 SNAP, RATE, FRAMES = 20, 10, 51
+
+#: Yards past the line of a deep defender, of the box and half its width, of the line and of press, and yards from the centre of a receiver.
 DEEP, BOX_X, BOX_Y, LINE, PRESS, WIDE = 10.0, 5.0, 8.0, 2.0, 3.0, 5.0
 
+#: Edges and labels of the bands, an edge belongs to the upper one.
+BANDS = {
+    "deepest_depth_band": ("deepest_depth_n", [9, 12, 15, 19], ["<9", "9-12", "12-15", "15-19", "19+"]),
+    "safety_depth_band": ("safety_depth_mean_n", [7, 10, 13, 16], ["<7", "7-10", "10-13", "13-16", "16+"]),
+    "safety_split_band": ("safety_split_n", [2, 10, 18], ["stacked", "narrow", "wide", "very-wide"]),
+    "field_safety_bias": ("field_safety_bias_n", [-2, 2], ["boundary", "balanced", "field"]),
+    "corner_depth_band": ("corner_depth_mean_n", [3, 5.5, 8], ["press", "soft", "off", "deep-off"]),
+    "corner_leverage": ("corner_leverage_mean_n", [-0.4, 0.4], ["inside", "head-up", "outside"]),
+    "box_count_band": ("box_count_n", [6, 7, 8], ["light", "6", "7", "8+"]),
+    "los_defenders_band": ("los_defender_count_n", [4, 5], ["3-", "4", "5+"]),
+    "linebacker_depth_band": ("linebacker_depth_mean_n", [3.5, 5, 6.5], ["walked-up", "tight", "normal", "deep"]),
+    "slot_defender_depth_band": ("slot_defender_depth_n", [3, 5, 7], ["creeping", "tight", "normal", "off"]),
+    "defense_spread_band": ("defense_spread_n", [7, 10, 13], ["compressed", "normal", "wide", "very-wide"]),
+    "distance_band": ("distance_n", [3, 7, 11], ["short", "medium", "long", "very-long"]),
+    "field_zone": ("yardline_n", [20, 50, 80], ["backed-up", "own-territory", "plus-territory", "red-zone"]),
+    "score_state": ("score_margin_n", [-8, -1, 8], ["trailing-big", "trailing", "close", "leading-big"]),
+}
+#: The signals in the order in which they are mined.
+CUE_KEYS = [
+    "shell", "deep_defender_count", "deepest_depth_band", "safety_depth_band", "safety_split_band", "late_rotation", "rotation_direction", "press_corners", "corner_leverage", "corner_depth_band", "box_count_band", "los_defenders_band",
+    "slot_defender_depth_band", "defense_spread_band", "linebacker_depth_band", "motion_response", "field_safety_bias", "down", "distance_band", "field_zone", "hash_side", "personnel", "score_state",
+]
+#: The numbers beside them.
+NUMERIC_CUE_KEYS = [
+    "deep_defender_count_n", "deepest_depth_n", "safety_depth_mean_n", "safety_depth_max_n", "safety_split_n", "safety_y_asymmetry_n", "rotation_magnitude_n", "rotation_lateral_n", "rotation_depth_n", "press_corner_count_n", "corner_depth_mean_n", "corner_leverage_mean_n", "box_count_n",
+    "los_defender_count_n", "slot_defender_depth_n", "defense_spread_n", "defense_width_n", "linebacker_depth_mean_n", "motion_response_n", "field_safety_bias_n", "defenders_observed_n", "down_n", "distance_n", "yardline_n", "score_margin_n",
+]
+
 
 def frame_at(t: float) -> int:
     """JOIN-14: the nearest frame of the grid, clamped."""
@@ -77,47 +107,83 @@ def first_largest(array: Column, key) -> Column:
     return F.aggregate(array, F.get(array, 0), lambda best, p: F.when(key(p) > key(best), p).otherwise(best))
 
 
+def first_by(array: Column, key) -> Column:
+    """The element with the smallest key, the first in order of equal ones; null of an empty array."""
+    keyed = F.transform(array, lambda p, i: F.struct(key(p).alias("k"), i.alias("i"), p.alias("p")))
+    return F.get(F.array_sort(keyed), 0)["p"]
+
+
+def deepest_first(array: Column) -> Column:
+    return F.transform(F.array_sort(F.transform(array, lambda p, i: F.struct((-p["x"]).alias("k"), i.alias("i"), p.alias("p")))), lambda q: q["p"])
+
+
+def shell_label(n: Column) -> Column:
+    return F.concat(F.when(n >= 3, "3+").otherwise(n.cast("string")), F.lit("-high"))
+
+
+def geometric_shell(players: Column, frame: int) -> Column:
+    """The shell that defenders seen at a frame make; null if none is seen."""
+    seen = snapshot(players, "defense", frame)
+    return F.when(F.size(seen) > 0, shell_label(count_if(seen, lambda p: p["x"] >= DEEP)))
+
+
+def _corner(side: int) -> Column:
+    """JOIN-12: the outermost defender of a side that is no safety, with the y of the receiver nearest to his own; null without either."""
+    own = F.filter("__able", lambda p: (F.signum(p["y"]) == side) & (F.abs(p["y"]) >= 4))
+    over = F.filter("__receivers", lambda y: F.signum(y) == side)
+    corner = first_by(own, lambda p: -F.abs(p["y"]))
+    target = F.transform(F.array(corner), lambda c: first_by(over, lambda y: F.abs(y - c["y"])))[0]
+    return F.when((F.size(own) > 0) & (F.size(over) > 0), F.struct(corner["x"].alias("x"), (F.abs(corner["y"]) - F.abs(target)).alias("outside")))
+
+
 def cues(plays: DataFrame, keep: list[str]) -> DataFrame:
-    """AGG-30: cues of the defense at the snap, numbers (_n) and labels."""
-    df = plays.withColumns({"__d": snapshot(F.col("players"), "defense", SNAP), "__e": snapshot(F.col("players"), "defense", frame_at(-1.5)), "__o": snapshot(F.col("players"), "offense", SNAP), "__oe": snapshot(F.col("players"), "offense", frame_at(-1.5))})
-    deep = F.filter("__d", lambda p: p["x"] >= DEEP)
-    df = df.withColumns({"__deep": deep, "__xs": F.array_sort(xs(F.col("__d"))), "__ball": F.coalesce(F.col("situation.ball_y_from_center"), F.lit(0.0))})
+    """AGG-30: the signals of the defense at the snap under CUE_KEYS, unknown where nothing is seen, and the numbers of NUMERIC_CUE_KEYS."""
+    early = frame_at(-1.5)
+    df = plays.withColumns({"__d": snapshot(F.col("players"), "defense", SNAP), "__e": snapshot(F.col("players"), "defense", early), "__o": snapshot(F.col("players"), "offense", SNAP), "__oe": snapshot(F.col("players"), "offense", early)})
+    situation = lambda f: F.col(f"situation.{f}")
+    number = lambda c: F.when(~F.isnan(c.cast("double")), c.cast("double"))
+    df = df.withColumns({
+        "__deep": F.filter("__d", lambda p: p["x"] >= DEEP), "__two": F.slice(deepest_first(F.col("__d")), 1, 2), "__wide": F.when(situation("ball_y_from_center") < 0, 1.0).otherwise(-1.0),
+        "__receivers": F.array_sort(F.filter(ys(F.col("__o")), lambda y: F.abs(y) >= WIDE)), "__near": F.filter("__d", lambda p: p["x"] <= 14), "__moved": travelled(F.col("__d"), F.col("__e")),
+        "down_n": F.when(situation("down") != 0, situation("down")).cast("double"), "distance_n": number(situation("distance")), "yardline_n": number(situation("yardline")), "score_margin_n": situation("score_margin").cast("double"),
+    })
+    # without the two deepest no safety is taken for a corner, whatever is played
+    df = df.withColumn("__able", F.when(F.size("__near") >= 5, F.slice(deepest_first(F.col("__near")), 3, 1_000)).otherwise(F.col("__near")))
     n = F.size("__deep")
-    two = F.slice("__xs", F.greatest(F.size("__xs") - 1, F.lit(1)), 2)
-    depth = F.when(n > 0, mean(xs(F.col("__deep")))).otherwise(mean(two))
-    split = F.when(n > 1, F.array_max(ys(F.col("__deep"))) - F.array_min(ys(F.col("__deep")))).otherwise(0.0)
-    wide = F.when(F.col("__ball") > 0, -1.0).otherwise(1.0)
-    moves = travelled(F.col("__d"), F.col("__e"))
-    df = df.withColumns({"deep_defender_count_n": n.cast("double"), "deepest_depth_n": F.array_max("__xs"), "safety_depth_mean_n": depth, "safety_depth_max_n": F.when(n > 0, F.array_max(xs(F.col("__deep")))).otherwise(F.array_max("__xs")), "safety_split_n": split, "field_safety_bias_n": F.when(n > 0, mean(ys(F.col("__deep"))) * wide), "__moves": F.filter(moves, lambda p: F.greatest(p["x"], p["x0"]) >= 6), "box_count_n": count_if(F.col("__d"), lambda p: (p["x"] <= BOX_X) & (F.abs(p["y"]) <= BOX_Y)).cast("double"), "los_defender_count_n": count_if(F.col("__d"), lambda p: p["x"] <= LINE).cast("double")})
+    some = F.when(n > 0, F.col("__deep")).otherwise(F.col("__two"))
     backers = F.filter("__d", lambda p: (p["x"] > LINE) & (p["x"] < DEEP) & (F.abs(p["y"]) <= BOX_Y))
+    slots = F.filter("__receivers", lambda y: F.abs(y) < 12)
+    df = df.withColumns({
+        "__far": first_largest(F.filter("__moved", lambda p: F.greatest(p["x"], p["x0"]) >= 6), lambda p: p["d"]), "__motion": first_largest(travelled(F.col("__o"), F.col("__oe")), lambda p: F.abs(p["dy"])),
+        "__corners": F.array_compact(F.array(_corner(-1), _corner(1))), "__slot": F.when(F.size(slots) > 0, F.when(F.abs(F.get(slots, 0)) < F.abs(F.element_at(slots, -1)), F.get(slots, 0)).otherwise(F.element_at(slots, -1))),
+    })
+    beside = F.filter("__d", lambda p: (F.abs(p["y"] - F.col("__slot")) <= 4) & (p["x"] <= 10))
+    followers = F.filter("__moved", lambda p: (F.signum(p["dy"]) == F.signum(F.col("__motion.dy"))) & (F.abs(p["dy"]) >= 2) & (p["x"] <= 10))
+    there = F.col("__motion").isNotNull() & (F.abs("__motion.dy") >= 3)
     all_y = ys(F.col("__d"))
-    df = df.withColumns({"__far": first_largest(F.col("__moves"), lambda p: p["d"]), "linebacker_depth_n": mean(xs(backers)), "defense_spread_n": spread_pop(all_y), "defense_width_n": F.array_max(all_y) - F.array_min(all_y), "__motion": first_largest(travelled(F.col("__o"), F.col("__oe")), lambda p: F.abs(p["dy"]))})
-    late = F.col("__far.d")
-    ahead = F.filter(travelled(F.col("__d"), F.col("__e")), lambda p: (p["x"] <= 10) & (p["dy"] * F.col("__motion.dy") > 0))
-    df = df.withColumns({"rotation_n": F.coalesce(late, F.lit(0.0)), "motion_n": F.when(F.abs("__motion.dy") >= 3, F.abs("__motion.dy")), "__follow": F.array_max(F.transform(ahead, lambda p: F.abs(p["dy"])))})
-    situation = lambda f: F.col(f"situation.{f}")
-    direction = F.when(late < 2.5, "none").when(F.abs("__far.dx") >= F.abs("__far.dy"), F.when(F.col("__far.dx") < 0, "down").otherwise("back")).otherwise(F.when(F.col("__far.dy") * wide > 0, "to-field").otherwise("to-boundary"))
+    df = df.withColumns({
+        "defenders_observed_n": F.size("__d").cast("double"), "deep_defender_count_n": n.cast("double"), "deepest_depth_n": F.array_max(xs(F.col("__d"))), "safety_depth_mean_n": mean(xs(some)), "safety_depth_max_n": F.array_max(xs(F.when(n > 0, F.col("__deep")).otherwise(F.col("__d")))),
+        "safety_split_n": F.when(n > 1, F.array_max(ys(F.col("__deep"))) - F.array_min(ys(F.col("__deep")))).otherwise(0.0), "safety_y_asymmetry_n": F.coalesce(mean(ys(some)), F.lit(0.0)),
+        "rotation_magnitude_n": F.coalesce("__far.d", F.lit(0.0)), "rotation_lateral_n": F.coalesce("__far.dy", F.lit(0.0)), "rotation_depth_n": F.coalesce("__far.dx", F.lit(0.0)),
+        "press_corner_count_n": count_if(F.col("__corners"), lambda c: c["x"] <= PRESS).cast("double"), "corner_depth_mean_n": mean(F.transform("__corners", lambda c: c["x"])), "corner_leverage_mean_n": mean(F.transform("__corners", lambda c: c["outside"])),
+        "box_count_n": count_if(F.col("__d"), lambda p: (p["x"] <= BOX_X) & (F.abs(p["y"]) <= BOX_Y)).cast("double"), "los_defender_count_n": count_if(F.col("__d"), lambda p: p["x"] <= LINE).cast("double"),
+        "slot_defender_depth_n": F.when(F.col("__slot").isNotNull(), first_by(beside, lambda p: F.abs(p["y"] - F.col("__slot")))["x"]), "defense_spread_n": spread_pop(all_y), "defense_width_n": F.array_max(all_y) - F.array_min(all_y), "linebacker_depth_mean_n": mean(xs(backers)),
+        "motion_response_n": F.when(there, F.coalesce(F.array_max(F.transform(followers, lambda p: F.abs(p["dy"]))), F.lit(0.0))),
+    }).withColumn("field_safety_bias_n", F.col("safety_y_asymmetry_n") * F.col("__wide"))
+    turn, side = F.col("rotation_depth_n"), F.col("rotation_lateral_n")
+    presses = F.col("press_corner_count_n")
     labels = {
+        "shell": shell_label(n),
         "deep_defender_count": F.when(n >= 3, "3+").otherwise(n.cast("string")),
-        "shell": F.concat(F.when(n >= 3, "3+").otherwise(n.cast("string")), F.lit("-high")),
-        "deepest_depth_band": right_open(F.col("deepest_depth_n"), [9, 12, 15, 19], ["<9", "9-12", "12-15", "15-19", "19+"]),
-        "safety_depth_band": right_open(F.col("safety_depth_mean_n"), [7, 10, 13, 16], ["<7", "7-10", "10-13", "13-16", "16+"]),
-        "safety_split_band": right_open(F.col("safety_split_n"), [2, 10, 18], ["stacked", "narrow", "wide", "very-wide"]),
-        "field_safety_bias": right_open(F.col("field_safety_bias_n"), [-2, 2], ["boundary", "balanced", "field"]),
-        "late_rotation": F.when(F.col("rotation_n") >= 2.5, "yes").otherwise("no"),
-        "rotation_direction": F.coalesce(direction, F.lit("none")),
-        "box_count": right_open(F.col("box_count_n"), [6, 7, 8], ["light", "6", "7", "8+"]),
-        "los_defender_count": right_open(F.col("los_defender_count_n"), [4, 5], ["3-", "4", "5+"]),
-        "linebacker_depth": right_open(F.col("linebacker_depth_n"), [3.5, 5, 6.5], ["tight", "normal", "off", "deep"]),
-        "defense_spread": right_open(F.col("defense_spread_n"), [7, 10, 13], ["compact", "normal", "wide", "very-wide"]),
-        "motion_response": F.when(F.col("motion_n").isNull(), "no-motion").when((F.col("__follow") >= 2) & (F.col("__follow") >= 0.55 * F.col("motion_n")), "chased").otherwise("zone-bump"),
-        "down": F.when(situation("down").isNull() | (situation("down") == 0), "unknown").otherwise(situation("down").cast("string")),
-        "distance_band": right_open(situation("distance"), [3, 7, 11], ["short", "medium", "long", "very-long"]),
-        "field_zone": right_open(situation("yardline"), [20, 50, 80], ["backed-up", "own", "plus", "red"]),
-        "score_state": right_open(situation("score_margin"), [-8, -1, 8], ["down-big", "down", "close", "up-big"]),
-    }
-    numbers = [c for c in df.columns if c.endswith("_n")]
-    return df.withColumns(labels).select(*keep, *labels, *numbers)
+        "late_rotation": F.when(F.col("rotation_magnitude_n") >= 2.5, "yes").otherwise("no"),
+        "rotation_direction": F.when(F.col("rotation_magnitude_n") < 2.5, "none").when(F.abs(turn) > F.abs(side), F.when(turn < 0, "down").otherwise("back")).when(side * F.col("__wide") > 0, "to-field").otherwise("to-boundary"),
+        "press_corners": F.when(presses <= 1, presses.cast("int").cast("string")).otherwise("2+"),
+        "motion_response": F.when(~there | F.col("__motion").isNull(), "no-motion").when(F.col("motion_response_n") >= 0.55 * F.abs("__motion.dy"), "chased").otherwise("zone-bump"),
+        "down": F.coalesce(F.col("down_n").cast("int").cast("string"), F.lit("unknown")),
+        "hash_side": F.coalesce(F.when(situation("hash_side") != "", situation("hash_side")), F.lit("unknown")),
+        "personnel": F.coalesce(F.when(situation("offense_personnel") != "", situation("offense_personnel")), F.lit("unknown")),
+    } | {name: F.coalesce(right_open(F.col(number_), edges, names), F.lit("unknown")) for name, (number_, edges, names) in BANDS.items()}
+    return df.withColumns(labels).select(*keep, *CUE_KEYS, *NUMERIC_CUE_KEYS)
 
 
 def features(plays: DataFrame, keep: list[str]) -> DataFrame:
@@ -141,14 +207,32 @@ def features(plays: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, *(F.when(there, v).alias(n) for n, v in out.items()))
 
 
-def disguise(df: DataFrame, showed: str, ran: str, showed_shell: str, ran_shell: str, showed_confidence: str, ran_confidence: str, defenders: str, families: Column, least: float = 0.45) -> DataFrame:
-    """PRJ-17, TRAP-31, JOIN-06: both, then family, shell, uncertain, none. families: map of label to family."""
-    a, b = F.try_element_at(families, F.col(showed)), F.try_element_at(families, F.col(ran))
-    family = (a != b) & (F.col(showed_shell) != "1-high")
-    shell = (F.col(showed_shell) != F.col(ran_shell)) & (F.col(defenders) >= 10)
-    unsure = (F.least(showed_confidence, ran_confidence) < least) & (F.col(showed) != F.col(ran))
+#: Shells that a look may turn into for the change to count as disguise.
+TURNS = {"2-high": ("0-high", "1-high", "3+-high"), "1-high": ("2-high",), "0-high": ("2-high",)}
+
+
+def disguise(plays: DataFrame, calls: DataFrame, families: dict[str, str], shells: dict[str, str], least_showed: float = 0.40, least_ran: float = 0.45, key: str = "play_id") -> DataFrame:
+    """PRJ-17, JOIN-06, TRAP-31: calls (key, showed, showed_confidence, ran, ran_confidence) against the shells of their plays.
+
+    families: of a coverage, man or zone; shells: the usual one of a coverage, where none is seen at 2.5 seconds. A family
+    only differs where both calls are sure enough and the look was no 1-high one, which both families share. A shell only
+    differs by one of TURNS, on plays with ten defenders or more.
+    """
+    own = plays.select(key, geometric_shell(F.col("players"), SNAP).alias("__s"), geometric_shell(F.col("players"), frame_at(2.5)).alias("__r"), F.col("quality.defenders_detected").alias("__n"))
+    df = calls.join(own, key).withColumns({"showed_shell": F.coalesce("__s", F.lit("0-high")), "__seen": F.col("__r")})
+    of = lambda table, c: F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.col(c))
+    turn = F.lit(False)
+    for look, into in TURNS.items():
+        turn = turn | ((F.col("showed_shell") == look) & F.col("__seen").isin(*into))
+    shell = F.coalesce(turn & (F.col("__n") >= 10), F.lit(False))
+    sure = (F.coalesce("showed_confidence", F.lit(0.0)) >= least_showed) & (F.coalesce("ran_confidence", F.lit(0.0)) >= least_ran)
+    called = F.col("showed").isNotNull()
+    man = lambda c: F.coalesce(of(families, c) == "man", F.lit(False))
+    family = called & sure & (man("showed") != man("ran")) & (F.col("showed_shell") != "1-high")
+    unsure = called & ~sure & (F.col("showed") != F.col("ran"))
     kind = F.when(family & shell, "both").when(family, "family").when(shell, "shell").when(unsure, "uncertain").otherwise("none")
-    return df.withColumns({"kind": kind, "disguised": kind.isin("both", "family", "shell")})
+    out = df.withColumns({"family_mismatch": family, "shell_mismatch": shell, "kind": kind, "disguised": kind.isin("both", "family", "shell")})
+    return out.select(key, F.coalesce("showed", "showed_shell").alias("showed"), "ran", "showed_shell", F.coalesce("__seen", of(shells, "ran")).alias("ran_shell"), "kind", "disguised", "family_mismatch", "shell_mismatch", "showed_confidence", "ran_confidence")
 
 
 def synthetic_plays(spark: SparkSession, weeks: int = 2, teams: int = 6, per_game: int = 10, seed: int = 7) -> DataFrame:
@@ -173,5 +257,5 @@ def synthetic_plays(spark: SparkSession, weeks: int = 2, teams: int = 6, per_gam
 
     eleven = F.sequence(F.lit(0), F.lit(10))
     players = F.concat(F.transform(eleven, lambda i: player("offense", i)), F.transform(eleven, lambda i: player("defense", i)))
-    situation = F.struct((F.col("id") % 4 + 1).cast("int").alias("down"), (1 + 12 * unit(F.col("id"), F.lit("d"))).alias("distance"), (99 * unit(F.col("id"), F.lit("z"))).alias("yardline"), (F.col("id") % 21 - 10).cast("int").alias("score_margin"), (6 * unit(F.col("id"), F.lit("b")) - 3).alias("ball_y_from_center"))
+    situation = F.struct((F.col("id") % 4 + 1).cast("int").alias("down"), (1 + 12 * unit(F.col("id"), F.lit("d"))).alias("distance"), (99 * unit(F.col("id"), F.lit("z"))).alias("yardline"), (F.col("id") % 21 - 10).cast("int").alias("score_margin"), (6 * unit(F.col("id"), F.lit("b")) - 3).alias("ball_y_from_center"), F.when(F.col("id") % 3 == 0, "left").when(F.col("id") % 3 == 1, "right").alias("hash_side"), F.when(F.col("id") % 2 == 0, "11").otherwise("12").alias("offense_personnel"))
     return base.select(F.format_string("synthetic-%d", "id").alias("play_id"), "week", "defense_team", "coverage", situation.alias("situation"), players.alias("players"))
