@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats
+from ..functions.strings import mapped, percent
 from .rates import class_sums, unpivot_classes
 
 #: The signal that every row has: an entity's totals.
@@ -29,6 +30,15 @@ SITUATION_CUES = ("down", "distance_band", "field_zone", "hash_side", "personnel
 FAMILIES = {"deep_defender_count": "shell", "safety_depth_band": "shell", "deepest_depth_band": "shell", "corner_depth_band": "press_corners", "rotation_direction": "late_rotation"}
 
 
+#: How a signal's value is told.
+PHRASES = {
+    "shell": "the pre-snap shell is {value}", "deep_defender_count": "{value} defender(s) align deep", "deepest_depth_band": "the deepest defender is {value} yards off", "safety_depth_band": "the safeties average {value} yards deep", "safety_split_band": "the safety split is {value}",
+    "late_rotation": "there is late rotation: {value}", "rotation_direction": "the late rotation goes {value}", "press_corners": "{value} corner(s) press", "corner_leverage": "the corners play {value} leverage", "corner_depth_band": "the corners align {value}", "box_count_band": "the box count is {value}",
+    "los_defenders_band": "{value} defenders are on the line", "slot_defender_depth_band": "the slot defender is {value}", "defense_spread_band": "the defensive front is {value}", "linebacker_depth_band": "the linebackers are {value}", "motion_response": "the response to motion is {value}",
+    "field_safety_bias": "the deep safety shades {value}", "down": "it is {value} down", "distance_band": "the distance is {value}", "field_zone": "the ball is in {value}", "hash_side": "the ball is on the {value} hash", "personnel": "the offense is in {value} personnel", "score_state": "the defense is {value}",
+}
+
+
 @dataclass(frozen=True)
 class MiningParams:
     """OP-07. strength: of the prior, estimated where None; league_rates: a baseline of outcomes from elsewhere; quality: a
@@ -246,3 +256,16 @@ def attach_validation(tells: DataFrame, found: DataFrame, keys: list[str]) -> Da
     tried = found.filter("trials > 0").select(*keys, "trials", "hits", "holdout_rate", "held_up")
     line = F.when(F.col("trials").isNull(), "not yet tested out of sample").otherwise(F.format_string("held on %d of %d snaps since it was found", "hits", "trials"))
     return tells.join(tried, keys, "left").withColumns({"status": F.when(F.col("trials").isNull(), "untested").when(F.col("held_up"), "held").otherwise("faded"), "evidence_line": line})
+
+
+def phrase(key: Column, value: Column) -> Column:
+    """FN-STR-07: a signal in words; one without a phrase as `key is value`."""
+    return F.replace(F.coalesce(mapped(key, PHRASES), F.concat(key, F.lit(" is {value}"))), F.lit("{value}"), value)
+
+
+def description(entity: str, outcome: str) -> Column:
+    """FN-STR-07: what a tell says, over the columns of best_tells."""
+    whole = lambda c: percent(F.col(c))
+    act = F.when(F.col("lift") > 0, "run").otherwise("avoid")
+    parts = [F.lit("When "), phrase(F.col("cue_key"), F.col("cue_value")), F.lit(", "), F.col(entity), F.lit(" "), act, F.lit(" "), F.col(outcome), F.lit(" on "), whole("shrunk_rate"), F.lit(" of snaps, against "), whole("expected_rate"), F.lit(" expected from their own mix ("), whole("team_base_rate"), F.lit(" overall, league "), whole("baseline_rate"), F.lit(" after this look), n="), F.col("n_cue").cast("string")]
+    return F.concat(*parts)

@@ -186,25 +186,74 @@ def cues(plays: DataFrame, keep: list[str]) -> DataFrame:
     return df.withColumns(labels).select(*keep, *CUE_KEYS, *NUMERIC_CUE_KEYS)
 
 
+#: What the defense did after the snap.
+POSTSNAP_KEYS = [
+    "deep_count_1s", "deep_count_25s", "depth_gain_mean", "depth_gain_max", "mirror_score_mean", "mirror_score_max", "man_distance_stability", "nearest_receiver_dist_mean", "zone_spacing_std", "deep_spread_25s", "underneath_count_25s", "pressure_count", "qb_converge_min_dist", "defense_spread_25s",
+    "defense_depth_mean_25s", "widest_deep_y", "deep_pair_symmetry", "coverage_rotation_post",
+]
+
+
+def observed_fraction(track: Column) -> Column:
+    """AGG-46: the share of a track's samples that were seen."""
+    return F.try_divide(F.size(F.filter(track["x"], lambda v: v.isNotNull() & ~F.isnan(v))), F.size(track["x"]))
+
+
+def velocity_at(track: Column, frame: int, half: int = 2) -> tuple[Column, Column]:
+    """Central difference over `half` frames each way, in yards a second; 0 where an end is missing."""
+    lo, hi = max(0, frame - half), min(FRAMES - 1, frame + half)
+    dx, dy = (F.get(track[c], F.lit(hi)) - F.get(track[c], F.lit(lo)) for c in ("x", "y"))
+    there = dx.isNotNull() & dy.isNotNull()
+    seconds = (hi - lo) / RATE
+    return F.when(there, dx / seconds).otherwise(0.0), F.when(there, dy / seconds).otherwise(0.0)
+
+
+def _shadow(defender: Column, receivers: Column) -> Column:
+    """The receiver whom a defender follows most: (score, distance, deviation); of equal scores the first in order, null without any."""
+
+    def against(r: Column) -> Column:
+        both = []
+        for t in (0.5, 1.0, 1.5, 2.0, 2.5):
+            f = frame_at(t)
+            dx, dy = (F.get(defender[c], F.lit(f)) - F.get(r[c], F.lit(f)) for c in ("x", "y"))
+            (ax, ay), (bx, by) = velocity_at(defender, f), velocity_at(r, f)
+            one, two = F.sqrt(ax * ax + ay * ay), F.sqrt(bx * bx + by * by)
+            both.append(F.struct(F.sqrt(dx * dx + dy * dy).alias("far"), F.when((one > 0.5) & (two > 0.5), (ax * bx + ay * by) / (one * two)).alias("same")))
+        seen = F.filter(F.array(*both), lambda p: p["far"].isNotNull())
+        far = F.transform(seen, lambda p: p["far"])
+        same = F.filter(F.transform(seen, lambda p: p["same"]), lambda v: v.isNotNull())
+        return F.when(F.size(same) > 0, F.struct((F.exp(-mean(far) / 4.0) * mean(same)).alias("score"), mean(far).alias("far"), spread_pop(far).alias("sway")))
+
+    return first_largest(F.filter(F.transform(receivers, against), lambda p: p.isNotNull() & (p["score"] > -1.0)), lambda p: p["score"])
+
+
 def features(plays: DataFrame, keep: list[str]) -> DataFrame:
-    """AGG-31: what the defense did after the snap; all null without defenders."""
+    """AGG-31: POSTSNAP_KEYS; all null without defenders, the passer's two without one in the list."""
     at = {name: frame_at(t) for name, t in (("0", 0), ("1", 1.0), ("15", 1.5), ("25", 2.5))}
-    df = plays.withColumns({f"__d{k}": snapshot(F.col("players"), "defense", f) for k, f in at.items()} | {"__o15": snapshot(F.col("players"), "offense", at["15"])})
-    deep = lambda k, x: count_if(F.col(f"__d{k}"), lambda p: p["x"] >= x)
-    back = F.array_sort(ys(F.filter("__d25", lambda p: p["x"] >= 14)))
+    df = plays.withColumns({f"__d{k}": snapshot(F.col("players"), "defense", f) for k, f in at.items()})
+    passers = F.filter("players", lambda p: (p["side"] == "offense") & (p["position"] == "QB"))
+    passer = F.get(passers, 0)
+    receivers = F.filter("players", lambda p: (p["side"] == "offense") & (p["position"].isNull() | p["position"].isin("WR", "TE", "RB")))
+    defenders = F.filter("players", lambda p: p["side"] == "defense")
+    df = df.withColumns({
+        "__moved": travelled(F.col("__d25"), F.col("__d0")), "__back": F.filter("__d25", lambda p: p["x"] >= 14), "__shadows": F.filter(F.transform(defenders, lambda d: _shadow(d, receivers)), lambda s: s.isNotNull()),
+        "__qx": F.get(passer["x"], F.lit(at["15"])), "__qy": F.get(passer["y"], F.lit(at["15"])), "__passers": F.size(passers),
+    })
+    df = df.withColumns({"__ys": F.array_sort(ys(F.col("__back"))), "__closing": F.filter(F.transform("__d15", lambda p: F.sqrt(F.pow(p["x"] - F.col("__qx"), 2) + F.pow(p["y"] - F.col("__qy"), 2))), lambda v: v.isNotNull())})
+    deep = lambda k, x: count_if(F.col(f"__d{k}"), lambda p: p["x"] >= x).cast("double")
+    shadow = lambda name: F.transform("__shadows", lambda s: s[name])
+    back, first, last = F.col("__ys"), F.get("__ys", 0), F.element_at("__ys", -1)
     gaps = F.transform(F.sequence(F.lit(0), F.size(back) - 2), lambda i: F.get(back, i + 1) - F.get(back, i))
-    passer = F.get(F.filter("__o15", lambda p: p["position"] == "QB"), 0)
-    moved = travelled(F.col("__d25"), F.col("__d0"))
+    two, one = F.size(back) >= 2, F.size(back) == 1
     out = {
-        "deep_count_1s": deep("1", 12.0).cast("double"), "deep_count_25s": deep("25", 14.0).cast("double"),
-        "underneath_count": count_if(F.col("__d25"), lambda p: (p["x"] >= 3) & (p["x"] < 14)).cast("double"),
-        "depth_gain_mean": mean(F.transform(moved, lambda p: p["dx"])), "depth_gain_max": F.array_max(F.transform(moved, lambda p: p["dx"])),
-        "zone_spacing_std": F.when(F.size(back) >= 3, spread_pop(gaps)), "spread_25s": spread_pop(ys(F.col("__d25"))),
-        "pressure_count": F.when(passer.isNotNull(), count_if(F.col("__d15"), lambda p: F.sqrt(F.pow(p["x"] - passer["x"], 2) + F.pow(p["y"] - passer["y"], 2)) <= 4)).cast("double"),
-        "rotation": (deep("25", 14.0) - deep("0", 10.0)).cast("double"),
+        "deep_count_1s": deep("1", 12.0), "deep_count_25s": deep("25", 14.0), "depth_gain_mean": mean(F.transform("__moved", lambda p: p["dx"])), "depth_gain_max": F.array_max(F.transform("__moved", lambda p: p["dx"])),
+        "mirror_score_mean": mean(shadow("score")), "mirror_score_max": F.array_max(shadow("score")), "man_distance_stability": mean(shadow("sway")), "nearest_receiver_dist_mean": mean(shadow("far")),
+        "zone_spacing_std": F.when(two, spread_pop(gaps)), "deep_spread_25s": F.when(two, last - first).when(one, 0.0), "underneath_count_25s": count_if(F.col("__d25"), lambda p: (p["x"] >= 3) & (p["x"] < 14)).cast("double"),
+        "pressure_count": F.when(F.col("__passers") > 0, count_if(F.col("__closing"), lambda v: v <= 4)).cast("double"), "qb_converge_min_dist": F.when(F.col("__passers") > 0, F.array_min("__closing")),
+        "defense_spread_25s": spread_pop(ys(F.col("__d25"))), "defense_depth_mean_25s": mean(xs(F.col("__d25"))), "widest_deep_y": F.when(F.size(back) > 0, F.greatest(F.abs(first), F.abs(last))), "deep_pair_symmetry": F.when(two, F.abs(first + last)),
+        "coverage_rotation_post": deep("25", 14.0) - deep("0", 10.0),
     }
     there = F.exists("players", lambda p: p["side"] == "defense")
-    return df.select(*keep, *(F.when(there, v).alias(n) for n, v in out.items()))
+    return df.select(*keep, *(F.when(there, out[n]).alias(n) for n in POSTSNAP_KEYS))
 
 
 #: Shells that a look may turn into for the change to count as disguise.

@@ -81,3 +81,40 @@ def usable_window(rows: DataFrame, entity: str, cuts: DataFrame, week: str = "we
 def report_slug(name: Column) -> Column:
     """SRC-27."""
     return slug(name)
+
+
+def drop_folder(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """SRC-21: every CSV and TSV under a folder, renamed by its header and put together by kind, with _source_file; unknown kinds go.
+
+    One read for each distinct header, not for each file: files of one header are one input.
+    """
+    found: dict[str, DataFrame] = {}
+    for suffix, sep in (("csv", ","), ("tsv", "\t")):
+        options = {"recursiveFileLookup": "true", "pathGlobFilter": f"*.{{{suffix},{suffix.upper()}}}", "sep": sep}
+        lines = spark.read.options(recursiveFileLookup="true", pathGlobFilter=options["pathGlobFilter"], wholetext="false").text(path)
+        # the first line of each file: the smallest place in it
+        heads = lines.select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).filter("block = 0").groupBy("file").agg(F.first("value").alias("head"))
+        files: dict[str, list[str]] = {}
+        for r in heads.collect():  # one short row for each export file
+            files.setdefault(r["head"], []).append(r["file"])
+        for names in files.values():
+            rows = spark.read.option("header", True).option("sep", sep).csv(sorted(names))
+            kind, _, mapping = sniff(rows.columns)
+            if kind == "unknown":
+                continue
+            rows = rows.select(*(F.col(f"`{c}`").alias(next((k for k, v in mapping.items() if v == c), c)) for c in rows.columns), F.col("_metadata.file_name").alias("_source_file"))
+            found[kind] = rows if kind not in found else found[kind].unionByName(rows, allowMissingColumns=True)
+    return found
+
+
+def from_per_snap(rows: DataFrame, source: str, labels: Column, aliases: dict[str, str] | None = None) -> DataFrame:
+    """PRJ-04: per-snap rows under the names of HEADERS as play context; labels: the normalised coverage of a row. Without a play id the game's stands in."""
+    f = lambda *n: first_of(rows, *n)
+    own = F.coalesce(F.nullif(f("play_id").cast("string"), F.lit("")), f("game_id").cast("string"), F.lit("None"))
+    named = rows.select(F.concat(F.lit(f"{source}-"), own).alias("play_id"), f("season").alias("season"), f("week").alias("week"), f("defense_team", "team").alias("defense_team"), f("offense_team", "opponent").alias("offense_team"), f("down").alias("down"), f("distance").alias("distance"), f("yards_gained").alias("yards_gained"), f("epa").alias("epa"), labels.alias("coverage"), F.when(labels.isNotNull(), source).alias("coverage_source"), F.lit(source).alias("source"))
+    return to_play_context(named, source, aliases)
+
+
+def through_week(rows: DataFrame, last: float, week: str = "week") -> DataFrame:
+    """PRJ-11: rows up to a week; weeks that are no numbers go."""
+    return rows.filter(F.col(week).cast("string").try_cast("double") <= last)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: SRC-01: the fields of a play that operators read; others are ignored by the reader.
 PLAY = """play_id string, source string, season int, week int, game_id string, defense_team string, offense_team string, coverage string,
@@ -30,9 +31,41 @@ def load_plays(spark: SparkSession, path: str, limit: int | None = None, recursi
     return plays.withColumn("players", clean).drop("__file")
 
 
-def save_plays(plays: DataFrame, path: str) -> None:
-    """SRC-02: the last of equal ids replaces the rest of the stored source partitions that it touches."""
-    plays.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+def _source_path(spark: SparkSession, path: str, source: str) -> tuple:
+    """The file system and the folder of one source."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/source={source}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def save_plays(plays: DataFrame, path: str, key: str = "play_id") -> None:
+    """SRC-02: stores plays by source; a stored play of the same source and id is replaced, all others stay. Of equal new ids the one with the greatest hash stays.
+
+    Only the sources that the new plays have are read and written again, beside the stored files until all is written.
+    """
+    spark = plays.sparkSession
+    nth = F.row_number().over(Window.partitionBy("source", key).orderBy(F.xxhash64(*plays.columns).desc()))
+    new = plays.withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    for source in sorted(r[0] for r in plays.select("source").distinct().collect() if r[0] is not None):  # a handful
+        system, folder = _source_path(spark, path, source)
+        part = new.filter(F.col("source") == source).drop("source")
+        following = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_next-{source}")
+        if system.exists(folder):
+            old = spark.read.parquet(folder.toString())
+            part = old.join(part.select(key), key, "left_anti").unionByName(part, allowMissingColumns=True)
+        part.write.mode("overwrite").parquet(following.toString())
+        system.delete(folder, True)
+        system.rename(following, folder)
+    spark.catalog.refreshByPath(path)
+
+
+def clear_plays(spark: SparkSession, path: str, source: str) -> bool:
+    """SRC-03: deletes the stored plays of a source; its predictions, which lie elsewhere, stay. Whether there were any."""
+    system, folder = _source_path(spark, path, source)
+    there = system.exists(folder)
+    if there:
+        system.delete(folder, True)
+        spark.catalog.refreshByPath(path)
+    return there
 
 
 def source_counts(plays: DataFrame) -> DataFrame:

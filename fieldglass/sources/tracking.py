@@ -81,3 +81,25 @@ def league_rates(plays: DataFrame, outcome: str, classes: list[str]) -> DataFram
     n = F.sum(F.when(F.col(outcome).isin(classes), 1).otherwise(0))
     shares = [F.coalesce(F.try_divide(F.sum((F.col(outcome) == c).cast("int")), n), F.lit(1 / len(classes))).alias(c) for c in classes]
     return plays.agg(*shares)
+
+
+def label_summary(labels: DataFrame, games: DataFrame) -> DataFrame:
+    """SRC-14: how many plays have a label, and which weeks they are from, in one row."""
+    weeks = labels.join(games.select("gameId", "week").dropDuplicates(["gameId"]), "gameId", "left")
+    return weeks.agg(F.count(F.lit(1)).alias("n_labeled"), F.array_sort(F.collect_set(F.col("week").try_cast("int"))).alias("weeks"))
+
+
+def save_league_rates(plays: DataFrame, outcome: str, classes: list[str], path: str) -> None:
+    """SRC-22: one row of shares as JSON."""
+    league_rates(plays, outcome, classes).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_league_rates(spark: SparkSession, path: str, classes: list[str]) -> dict[str, float] | None:
+    """SRC-22: the shares, brought to a total of 1 again over the classes; None where nothing is stored or the total is not positive."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        return None
+    rows = spark.read.schema(", ".join(f"`{c}` double" for c in classes)).json(path).limit(1).collect()
+    found = {c: max(0.0, rows[0][c] or 0.0) for c in classes} if rows else {}
+    total = sum(found.values())
+    return {c: v / total for c, v in found.items()} if total > 0 else None

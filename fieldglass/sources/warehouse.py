@@ -46,10 +46,13 @@ class Warehouse:
 
     def _swap(self, new: str, target: str) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, target))
+        a, b, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (new, target, f"{target}.before"))
         system = a.getFileSystem(conf)
-        system.delete(b, True)
+        # a whole copy is there at every moment: under its name, or as .before or .next
+        system.delete(aside, True)
+        system.rename(b, aside)
         system.rename(a, b)
+        system.delete(aside, True)
         self.spark.catalog.refreshByPath(target)
 
     def query(self, sql: str) -> DataFrame:

@@ -277,3 +277,54 @@ def test_streams(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [r["track"] for r in spark.table("tracks_out").orderBy("frame").collect()] == [1, 1, 2]
+
+
+def test_stored_plays_are_replaced_by_id(spark, tmp_path):
+    path = str(tmp_path / "plays")
+    make = lambda rows: spark.createDataFrame(rows, "play_id string, source string, week int")
+    plays.save_plays(make([("a", "film", 1), ("b", "film", 1), ("c", "pff", 1)]), path)
+    plays.save_plays(make([("b", "film", 2), ("d", "film", 2)]), path)
+    read = lambda: {(r["source"], r["play_id"], r["week"]) for r in spark.read.parquet(path).collect()}
+    assert read() == {("film", "a", 1), ("film", "b", 2), ("film", "d", 2), ("pff", "c", 1)}
+    assert plays.clear_plays(spark, path, "film") and not plays.clear_plays(spark, path, "film")
+    assert read() == {("pff", "c", 1)}
+
+
+def test_drop_folder(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "one.csv").write_text("Play ID,Coverage,Defense\n7,Cover 3,Xs\n8,,Xs\n")
+    (tmp_path / "deep" / "two.csv").write_text("Play ID,Coverage,Defense\n9,Cover 1,Ys\n")
+    (tmp_path / "three.tsv").write_text("game_id\tplay_id\tcoverage\n5\t\tCover 3\n")
+    (tmp_path / "no.csv").write_text("x,y\n1,2\n")
+    found = context.drop_folder(spark, str(tmp_path))
+    assert set(found) == {"per_snap"}
+    rows = {r["play_id"]: r for r in context.from_per_snap(found["per_snap"], "pff", F.col("coverage")).collect()}
+    assert set(rows) == {"pff-7", "pff-8", "pff-9", "pff-5"}
+    assert (rows["pff-7"]["coverage_source"], rows["pff-8"]["coverage_source"], rows["pff-9"]["defense_team"]) == ("pff", None, "Ys")
+
+
+def test_league_rates_round_trip(spark, tmp_path):
+    path = str(tmp_path / "rates")
+    assert tracking.load_league_rates(spark, path, ["a", "b"]) is None
+    tracking.save_league_rates(spark.createDataFrame([("a",), ("a",), ("b",), ("z",)], "c string"), "c", ["a", "b"], path)
+    assert tracking.load_league_rates(spark, path, ["a", "b"]) == pytest.approx({"a": 2 / 3, "b": 1 / 3})
+    labels, games = spark.createDataFrame([(1,), (1,), (2,)], "gameId int"), spark.createDataFrame([(1, 3)], "gameId int, week int")
+    assert tuple(tracking.label_summary(labels, games).first()) == (3, [3])
+
+
+def test_descriptions(spark):
+    from fieldglass.operators import mining
+
+    row = spark.createDataFrame([("Xs", "shell", "2-high", "Cover 2", 0.5, 0.3, 0.25, 0.2, 0.2, 40)], "team string, cue_key string, cue_value string, coverage string, shrunk_rate double, expected_rate double, team_base_rate double, baseline_rate double, lift double, n_cue long")
+    assert row.select(mining.description("team", "coverage")).first()[0] == "When the pre-snap shell is 2-high, Xs run Cover 2 on 50% of snaps, against 30% expected from their own mix (25% overall, league 20% after this look), n=40"
+
+
+def test_features_of_a_shadowed_receiver(spark):
+    line = lambda x, y, vx, vy: ([x + vx * max(0, f - 20) / 10 for f in range(51)], [y + vy * max(0, f - 20) / 10 for f in range(51)])
+    people = [("o0", "offense", "WR", *line(0.0, 10.0, 6.0, 0.0)), ("o1", "offense", "QB", *line(-5.0, 0.0, 0.0, 0.0)), ("d0", "defense", "CB", *line(3.0, 10.0, 6.0, 0.0)), ("d1", "defense", "S", *line(14.0, -6.0, 0.0, 0.0)), ("d2", "defense", "S", *line(14.0, 8.0, 0.0, 0.0))]
+    r = tracks.features(spark.createDataFrame([("p", (1, 3.0, 50.0, 8, 2.0, None, None), people)], TRACKED), ["play_id"]).first()
+    assert r["mirror_score_max"] == pytest.approx(math.exp(-3 / 4)) and r["nearest_receiver_dist_mean"] == pytest.approx(3) and r["man_distance_stability"] == pytest.approx(0)
+    # the corner is at 18 by then
+    assert (r["deep_count_25s"], r["deep_spread_25s"], r["widest_deep_y"], r["deep_pair_symmetry"]) == (3, 16, 10, 4)
+    assert r["zone_spacing_std"] == pytest.approx(6) and r["coverage_rotation_post"] == 1 and r["pressure_count"] == 0 and r["qb_converge_min_dist"] == pytest.approx(math.hypot(17, 10))
+    assert set(tracks.POSTSNAP_KEYS) <= set(r.asDict())
