@@ -33,7 +33,7 @@ class ToxicParams:
     positives: int = 1500
     unlabelled: int = 3000
     prior: float | None = None
-    margin: float = 3.0
+    margin: float = 5.0
     log2_weights: int = 18
     steps: int = 160
     rate: float = 0.25
