@@ -8,7 +8,7 @@ import time
 
 from fieldglass.session import session
 
-HEADLINES = ["tendency", "outcome_mix_weighted", "opponent_adjusted", "situational_value", "scheme_splits", "mine_cells", "prior_strength", "cell_statistics", "tells_topk", "forward_validation", "dedupe_last", "asof_prior", "resample_grid", "velocity", "median_filter", "sessions", "confusion_matrix", "f1_by_class", "average_precision", "iou_pairs", "centroid_assign", "paged_listing"]
+HEADLINES = ["tendency", "outcome_mix_weighted", "opponent_adjusted", "situational_value", "scheme_splits", "mine_cells", "prior_strength", "cell_statistics", "mine_tells", "tells_topk", "forward_validation", "play_cues", "play_features", "detection_metrics", "dedupe_last", "asof_prior", "resample_grid", "velocity", "median_filter", "sessions", "confusion_matrix", "f1_by_class", "average_precision", "iou_pairs", "centroid_assign", "paged_listing"]
 
 
 def main() -> None:

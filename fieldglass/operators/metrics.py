@@ -50,14 +50,30 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs("gap")) / F.sum("n")).alias("ece"))
 
 
-def precision_recall(df: DataFrame, score: str, positive: Column, truths: int | Column, key: str, by: list[str] = ()) -> DataFrame:
-    """WIN-16: the curve by falling score (ties by key), with the precision envelope and the recall step of each row."""
-    down = Window.partitionBy(*by).orderBy(F.col(score).desc(), key)
-    flagged = df.withColumn("__tp", positive.cast("long")).withColumn("__rn", F.row_number().over(down)).withColumn("tp", F.sum("__tp").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+def precision_recall(df: DataFrame, score: str, positive: Column, truths: int | Column, key: str, by: list[str] = (), ranges: int = 256) -> DataFrame:
+    """WIN-16: the curve by falling score (ties by key), with the precision envelope and the recall step of each row.
+
+    Scores fall into ranges of about equal size; what stands before and after a range comes from one small row for each,
+    so no task sorts all rows of a class. Null scores come last.
+    """
+    by = list(by)
+    grid = F.percentile_approx(score, F.array(*(F.lit(i / ranges) for i in range(1, ranges))), 10_000)
+    cuts = df.groupBy(*by).agg(grid.alias("__cuts"))
+    placed = df.join(cuts, by) if by else df.crossJoin(F.broadcast(cuts))  # one row
+    place = F.when(F.col(score).isNull(), ranges + 1).otherwise(F.size(F.filter("__cuts", lambda c: c > F.col(score))))
+    placed = placed.withColumns({"__tp": positive.cast("long"), "__range": place}).drop("__cuts")
+    falling = Window.partitionBy(*by).orderBy("__range")
+    earlier, later = falling.rowsBetween(Window.unboundedPreceding, -1), falling.rowsBetween(1, Window.unboundedFollowing)
+    sums = placed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"), F.sum("__tp").alias("__t"))
+    before = sums.select(*by, "__range", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0"), F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__t0"))
+    down = Window.partitionBy(*by, "__range").orderBy(F.col(score).desc(), key)
+    flagged = placed.join(before, [*by, "__range"]).withColumn("__rn", F.row_number().over(down) + F.col("__n0")).withColumn("tp", F.sum("__tp").over(down.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__t0"))
     total = F.lit(truths) if isinstance(truths, int) else truths
     curve = flagged.withColumn("precision", F.col("tp") / F.col("__rn")).withColumn("recall", F.coalesce(F.try_divide(F.col("tp"), total), F.lit(0.0)))
-    up = Window.partitionBy(*by).orderBy(F.col("__rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return curve.withColumns({"envelope": F.max("precision").over(up), "step": F.col("__tp") / total}).drop("__tp", "__rn")
+    after = curve.groupBy(*by, "__range").agg(F.max("precision").alias("__best")).select(*by, "__range", F.max("__best").over(later).alias("__after"))
+    up = Window.partitionBy(*by, "__range").orderBy(F.col("__rn").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = curve.join(after, [*by, "__range"]).withColumns({"envelope": F.greatest(F.max("precision").over(up), F.col("__after")), "step": F.col("__tp") / total})
+    return out.drop("__tp", "__rn", "__range", "__n0", "__t0", "__after")
 
 
 def average_precision(curve: DataFrame, by: list[str] = ()) -> DataFrame:

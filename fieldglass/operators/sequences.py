@@ -120,8 +120,15 @@ def spikes(df: DataFrame, key: str, frame: str, value: str, factor: float = 2.5)
 
 
 def spaced(df: DataFrame, key: str, frame: str, least: float) -> DataFrame:
-    """WIN-11, WIN-29: from each series the rows at least `least` after the last kept one: a fold over sorted frames."""
-    listed = df.groupBy(key).agg(F.array_sort(F.collect_list(F.col(frame).cast("double"))).alias("f"))
+    """WIN-11, WIN-29: from each series the rows at least `least` after the last kept one.
+
+    A row that far after the one before it is kept for certain, so the series falls apart there and only the stretches
+    between are folded, each by itself.
+    """
+    order = Window.partitionBy(key).orderBy("__f")
+    apart = F.coalesce((F.col("__f") - F.lag("__f").over(order) >= least).cast("int"), F.lit(1))
+    pieces = df.select(key, F.col(frame).cast("double").alias("__f")).withColumn("__cut", apart).withColumn("__piece", F.sum("__cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    listed = pieces.groupBy(key, "__piece").agg(F.array_sort(F.collect_list("__f")).alias("f"))
     empty = F.array().cast("array<double>")
     kept = F.aggregate("f", empty, lambda acc, x: F.when((F.size(acc) == 0) | (x - F.element_at(acc, -1) >= least), F.concat(acc, F.array(x))).otherwise(acc))
     return listed.select(key, F.explode(kept).alias(frame))

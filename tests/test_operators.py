@@ -328,3 +328,17 @@ def test_features_of_a_shadowed_receiver(spark):
     assert (r["deep_count_25s"], r["deep_spread_25s"], r["widest_deep_y"], r["deep_pair_symmetry"]) == (3, 16, 10, 4)
     assert r["zone_spacing_std"] == pytest.approx(6) and r["coverage_rotation_post"] == 1 and r["pressure_count"] == 0 and r["qb_converge_min_dist"] == pytest.approx(math.hypot(17, 10))
     assert set(tracks.POSTSNAP_KEYS) <= set(r.asDict())
+
+
+def test_spaced_rows_equal_a_fold(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(400)) for k in "ab" for _ in range(150)]
+    want = set()
+    for k in "ab":
+        last = None
+        for f in sorted(f for key, f in rows if key == k):
+            if last is None or f - last >= 5:
+                want.add((k, f))
+                last = f
+    out = sequences.spaced(spark.createDataFrame(rows, "k string, f int"), "k", "f", 5.0).collect()
+    assert {(r["k"], r["f"]) for r in out} == want and len(out) == len(want)
