@@ -6,6 +6,8 @@ with the snap at frame 20; x is yards past the line, y yards from the centre. Mi
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -308,3 +310,80 @@ def synthetic_plays(spark: SparkSession, weeks: int = 2, teams: int = 6, per_gam
     players = F.concat(F.transform(eleven, lambda i: player("offense", i)), F.transform(eleven, lambda i: player("defense", i)))
     situation = F.struct((F.col("id") % 4 + 1).cast("int").alias("down"), (1 + 12 * unit(F.col("id"), F.lit("d"))).alias("distance"), (99 * unit(F.col("id"), F.lit("z"))).alias("yardline"), (F.col("id") % 21 - 10).cast("int").alias("score_margin"), (6 * unit(F.col("id"), F.lit("b")) - 3).alias("ball_y_from_center"), F.when(F.col("id") % 3 == 0, "left").when(F.col("id") % 3 == 1, "right").alias("hash_side"), F.when(F.col("id") % 2 == 0, "11").otherwise("12").alias("offense_personnel"))
     return base.select(F.format_string("synthetic-%d", "id").alias("play_id"), "week", "defense_team", "coverage", situation.alias("situation"), players.alias("players"))
+
+
+@dataclass(frozen=True)
+class Profile:
+    """A team of a made league: weights of coverages and planted signals (trait, coverage, probability)."""
+
+    team: str
+    bias: dict[str, float] = field(default_factory=dict)
+    tells: tuple[tuple[str, str, float], ...] = ()
+
+
+#: How often each coverage is played, how many defend deep in it, and how often a trait shows where nothing is planted.
+LEAGUE_MIX = {"Cover 0 Man": 0.08, "Cover 1 Man": 0.24, "Cover 2 Zone": 0.18, "Cover 3 Zone": 0.32, "Cover 4 Zone": 0.18}
+DEEP_IN = {"Cover 0 Man": 0, "Cover 1 Man": 1, "Cover 2 Zone": 2, "Cover 3 Zone": 1, "Cover 4 Zone": 2}
+TRAITS = {"late_rotation": 0.25, "press_corners": 0.35, "deep_safeties": 0.3, "nickel_creep": 0.25, "heavy_box": 0.25}
+#: The signals that show a trait.
+TRAIT_CUES = {
+    "late_rotation": {"late_rotation", "rotation_direction"}, "press_corners": {"press_corners", "corner_depth_band", "corner_leverage"}, "deep_safeties": {"safety_depth_band", "deepest_depth_band", "shell", "deep_defender_count"},
+    "nickel_creep": {"slot_defender_depth_band", "los_defenders_band"}, "heavy_box": {"box_count_band", "linebacker_depth_band", "los_defenders_band", "safety_depth_band", "shell", "deep_defender_count"},
+}
+#: The last team has no planted signal: nothing should be found there.
+LEAGUE = (
+    Profile("Rollers", {"Cover 3 Zone": 1.2}, (("late_rotation", "Cover 3 Zone", 0.88), ("press_corners", "Cover 1 Man", 0.92))),
+    Profile("Bailers", {"Cover 4 Zone": 1.6}, (("deep_safeties", "Cover 4 Zone", 0.92),)),
+    Profile("Creepers", {"Cover 0 Man": 2.2}, (("nickel_creep", "Cover 0 Man", 0.95),)),
+    Profile("Jammers", {"Cover 2 Zone": 1.5}, (("press_corners", "Cover 2 Zone", 0.9),)),
+    Profile("Crowders", {"Cover 1 Man": 1.3}, (("heavy_box", "Cover 3 Zone", 0.9),)),
+    Profile("Plain"),
+)
+
+
+def planted_plays(spark: SparkSession, league: tuple[Profile, ...] = LEAGUE, weeks: int = 10, per_week: int = 60, seed: int = 7) -> DataFrame:
+    """SRC-32, OP-15, OP-16: a season of plays whose tracks show planted signals; every draw is a hash of the play's number, so rows are the same on any number of tasks and `weeks` and `per_week` scale them."""
+    unit = lambda *k: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), *map(F.lit, k)), F.lit(1_000_003)) / 1_000_003.0
+    n = len(league)
+    base = spark.range(weeks * per_week * n).select("id", (F.col("id") % n).cast("int").alias("t"), (F.floor(F.col("id") / (per_week * n)) + 1).cast("int").alias("week"))
+    names = F.array(*(F.lit(p.team) for p in league))
+    coverage, chance = F.lit(None).cast("string"), {trait: F.lit(usual) for trait, usual in TRAITS.items()}
+    u = unit("coverage")
+    for i, p in enumerate(league):
+        share = {c: v * p.bias.get(c, 1.0) for c, v in LEAGUE_MIX.items()}
+        upto, drawn = 0.0, F.lit(list(share)[-1])
+        steps = []
+        for c, v in list(share.items())[:-1]:
+            upto += v / sum(share.values())
+            steps.append((upto, c))
+        for edge, c in reversed(steps):
+            drawn = F.when(u < edge, c).otherwise(drawn)
+        coverage = F.when(F.col("t") == i, drawn).otherwise(coverage)
+    played = base.withColumns({"coverage": coverage, "defense_team": F.get(names, F.col("t"))})
+    for p in league:
+        for trait, c, probability in p.tells:
+            chance[trait] = F.when((F.col("defense_team") == p.team) & (F.col("coverage") == c), probability).otherwise(chance[trait])
+    deep = F.lit(0)
+    for c, k in DEEP_IN.items():
+        deep = F.when(F.col("coverage") == c, k).otherwise(deep)
+    played = played.withColumns({f"is_{trait}": unit(trait) < p for trait, p in chance.items()} | {"high": deep})
+    flag = lambda trait: F.col(f"is_{trait}")
+    r = lambda tag: unit(tag) - 0.5
+    early = frame_at(-1.0)
+
+    def track(name: str, side: str, position: str, x: Column, y: Column, dx: Column | float = 0.0, dy: Column | float = 0.0) -> Column:
+        path = lambda start, off: F.concat(F.array_repeat(F.round(start + off, 3), early), F.array_repeat(F.round(start, 3), FRAMES - early))
+        return F.struct(F.lit(name).alias("track_id"), F.lit(side).alias("side"), F.lit(position).alias("position"), path(x, F.lit(0.0) + dx).alias("x"), path(y, F.lit(0.0) + dy).alias("y"))
+
+    press = F.when(flag("press_corners"), 1.6 + r("c")).otherwise(6.5 + 1.5 * r("c"))
+    safety = F.when(flag("deep_safeties"), 15.0 + r("s")).otherwise(11.2 + r("s"))
+    roll = F.when(flag("late_rotation"), 4.0 + r("m")).otherwise(0.4 * r("m"))
+    box = flag("heavy_box")
+    people = [track("O0", "offense", "QB", F.lit(-5.0), F.lit(0.0)), *(track(f"O{i}", "offense", "OL", F.lit(-1.0), F.lit(1.5 * (i - 3))) for i in range(1, 6)), *(track(f"O{k}", "offense", pos, F.lit(-1.0), F.lit(y)) for k, pos, y in ((6, "WR", 19.0), (7, "WR", -19.0), (8, "WR", 9.0), (9, "TE", -4.5), (10, "RB", 1.0)))]
+    people += [
+        track("D0", "defense", "CB", press, 19.0 + r("y0")), track("D1", "defense", "CB", press + 0.3 * r("c1"), -19.0 + r("y1")), track("D2", "defense", "NB", F.when(flag("nickel_creep"), 2.4 + 0.4 * r("n")).otherwise(5.8 + r("n")), 9.0 + r("y2")),
+        track("D3", "defense", "S", F.when(F.col("high") >= 1, safety).otherwise(7.5 + r("s0")), F.when(F.col("high") >= 2, 8.0).otherwise(0.0) + 2 * r("y3"), 0.0, roll), track("D4", "defense", "S", F.when(box, 4.2 + 0.5 * r("b")).when(F.col("high") >= 2, safety + r("s4")).otherwise(7.0 + r("s5")), F.when(box, -6.0).otherwise(-9.5) + r("y4")),
+        *(track(f"D{5 + i}", "defense", "LB", 4.3 + 0.8 * r(f"l{i}"), F.lit(4.0 * (i - 1)) + r(f"k{i}")) for i in range(3)), *(track(f"D{8 + i}", "defense", "DL", 1.0 + 0.4 * r(f"d{i}"), F.lit(3.0 * (i - 1))) for i in range(3)),
+    ]
+    situation = F.struct((1 + F.floor(4 * unit("down"))).cast("int").alias("down"), F.round(1 + 14 * unit("to go"), 1).alias("distance"), F.round(1 + 98 * unit("yard")).alias("yardline"), (F.floor(29 * unit("margin")) - 14).cast("int").alias("score_margin"), (6 * r("ball")).alias("ball_y_from_center"), F.when(unit("hash") < 0.5, "left").otherwise("right").alias("hash_side"), F.when(unit("people") < 0.6, "11").otherwise("12").alias("offense_personnel"))
+    return played.select(F.format_string("planted-%d", "id").alias("play_id"), "week", "defense_team", "coverage", situation.alias("situation"), F.array(*people).alias("players"))

@@ -21,6 +21,13 @@ def play_features(spark, d):
     return tracks.features(tracks.synthetic_plays(spark), ["play_id", "coverage"])
 
 
+@query()
+def planted_tells(spark, d):
+    """OP-15, OP-16, OP-17: what mining finds in a made season with planted signals."""
+    cues = tracks.cues(tracks.planted_plays(spark), ["play_id", "defense_team", "week", "coverage"])
+    return rounded(mining.mine(cues, "defense_team", "coverage", tracks.CUE_KEYS, list(tracks.LEAGUE_MIX), "week", mining.MiningParams()))
+
+
 @query()
 def cue_tendency(spark, d):
     """AGG-01 over made plays by shell."""

@@ -342,3 +342,15 @@ def test_spaced_rows_equal_a_fold(spark):
                 last = f
     out = sequences.spaced(spark.createDataFrame(rows, "k string, f int"), "k", "f", 5.0).collect()
     assert {(r["k"], r["f"]) for r in out} == want and len(out) == len(want)
+
+
+def test_planted_signals_are_found_and_the_control_team_is_left_alone(spark):
+    from fieldglass.operators import mining
+
+    cues = tracks.cues(tracks.planted_plays(spark), ["play_id", "defense_team", "week", "coverage"])
+    counts = mining.cue_counts(cues, "defense_team", "coverage", tracks.CUE_KEYS, list(tracks.LEAGUE_MIX), "week")
+    found = mining.mine(cues, "defense_team", "coverage", tracks.CUE_KEYS, list(tracks.LEAGUE_MIX), "week").collect()
+    missed = [(p.team, *t) for p in tracks.LEAGUE for t in p.tells if not any(r["defense_team"] == p.team and r["coverage"] == t[1] and r["cue_key"] in tracks.TRAIT_CUES[t[0]] and r["lift"] > 0 for r in found)]
+    assert not missed
+    assert counts.filter("defense_team = 'Plain' and cue_key <> ''").select("cue_key", "cue_value").distinct().count() > 30
+    assert sum(r["defense_team"] == "Plain" for r in found) <= 3
