@@ -62,6 +62,11 @@ def drop_written(*frames: DataFrame | None) -> None:
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sent(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """df for a join with something large: to be broadcast if it has `rows` rows at most, else Spark's own choice. For written tables of a few numbers."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def trim() -> None:
     """Give a Python worker's free memory back to the machine: idle workers stay, and an executor holds several."""
     pa.default_memory_pool().release_unused()
