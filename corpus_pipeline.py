@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldglass.llm.common import crc_mod, drop_written, fresh, table, written
+from fieldglass.llm.common import crc_mod, drop_written, fresh, sent, table, written
 from fieldglass.llm.decontaminate import drop_leaks
 from fieldglass.llm.line_dedup import dedupe_lines
 from fieldglass.llm.ngram_join import jaccard_components
@@ -36,10 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(jaccard_components(docs), "components")
-    copies = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    copies = sent(written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies"))
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     # rows that share an id are one document: its first text by order stays, and of equal texts the row with the first hash
-    repeated = written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    repeated = sent(written(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated"))
     nth = fresh("__nth", docs.columns)
     order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), F.xxhash64(*docs.columns))
     first = kept.join(repeated, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1)
