@@ -3,9 +3,11 @@
 Texts and items are normalised alike: lower case, ASCII punctuation and white space as single spaces. An item of m
 characters may be found with up to k = m * rate edits. Cut into k + 1 pieces, one piece of any such copy is untouched,
 so exact piece hits (one automaton over all pieces) give every candidate place, and Myers' bit-parallel distance
-decides. Items come in blocks of bounded size, each a scan of the texts without a shuffle.
+decides. Items come in blocks of bounded size, each a scan of the texts without a shuffle: the automaton of a block is
+what a worker has to hold.
 
-Null and empty texts and items match nothing; an item of one piece must occur exactly.
+Null and empty texts and items match nothing; an item of one piece must occur exactly. Of equally good places the first
+is given. Repeated texts and items give repeated rows; item ids are long. Empty tables give no rows, extra columns pass.
 """
 
 from __future__ import annotations
@@ -124,7 +126,7 @@ class Matcher:
 
 
 def item_blocks(items: DataFrame, key: str, text: str, params: EditParams) -> Iterator[list[tuple[int, str]]]:
-    """Normalised items in blocks; the driver holds one at a time."""
+    """Normalised items in blocks of bounded size; each goes into the plan of its own scan."""
     block, size = [], 0
     for row in items.select(key, text).filter(F.col(text).isNotNull()).toLocalIterator():
         item = normal(row[1])
