@@ -67,6 +67,18 @@ def sent(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: What a scan and a batch for a Python worker hold at once: by Spark's defaults 4,096 and 10,000 rows, however long their texts.
+SMALL_BATCHES = {"spark.sql.parquet.columnarReaderBatchSize": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "3900000b"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session reads and sends texts in SMALL_BATCHES; settings of its own win. Batches never change results."""
+    own = spark.conf.getAll
+    for key, value in SMALL_BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
+
+
 def trim() -> None:
     """Give a Python worker's free memory back to the machine: idle workers stay, and an executor holds several."""
     pa.default_memory_pool().release_unused()

@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from fieldglass.llm.common import SMALL_BATCHES
 from fieldglass.llm.registry import ORACLES, QUERIES
 
 WORDS = "ba ke lo mi nu pa re si to vu".split()
@@ -80,3 +82,26 @@ def test_empty_tables(spark, folder, tmp_path):
         assert f(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_stages_send_small_batches_of_long_texts(spark, folder, tmp_path):
+    def largest(df):
+        sizes = df.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["b"]) for b in batches), "b long")
+        return max(r["b"] for r in sizes.collect())
+
+    where, _, _ = folder
+    keys = list(SMALL_BATCHES)
+    spark.range(600).selectExpr("repeat('some words ', 2000) AS text").coalesce(1).write.parquet(f"{tmp_path}/long")
+    long, docs = spark.read.parquet(f"{tmp_path}/long"), spark.read.parquet(f"{where}/documents.parquet")
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            for key in keys:
+                spark.conf.unset(key)
+            stage(spark, docs, where)
+            assert largest(long) < 5_000_000, name
+        spark.conf.set(keys[1], "2000000b")  # a session's own setting wins
+        corpus_pipeline.pieces(spark, docs, where)
+        assert largest(long) < 2_100_000
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
